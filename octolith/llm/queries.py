@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from octolith.llm import decontam, packing
+from octolith.llm import decontam, packing, pii, simhash
 from octolith.llm.spark import table
 
 
@@ -10,10 +10,18 @@ def op3_benchmark_decontamination(spark, sf_dir):
     return decontam.digest(decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op4_simhash_near_dedup(spark, sf_dir):
+    return simhash.digest(simhash.groups(table(spark, sf_dir, "documents")))
+
+
+def op7_personal_data(spark, sf_dir):
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op10_sequence_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_benchmark_decontamination, op10_sequence_packing)}
+QUERIES = {f.__name__: f for f in (op3_benchmark_decontamination, op4_simhash_near_dedup, op7_personal_data, op10_sequence_packing)}
 
 ORACLE: dict[str, str] = {}
