@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _RNG = np.random.default_rng(20240101)
 _BYTE_KEYS = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -87,7 +88,7 @@ def joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
     """Cuts a batch into runs of rows of about ``most`` text bytes, never splitting a row."""
-    size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0))
+    size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
     start, held = 0, 0
     for i, n in enumerate(size.tolist()):
         if held and held + n > most:
