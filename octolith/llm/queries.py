@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from octolith.llm import decontam, packing, pii, simhash
+from octolith.llm import decontam, packing, pii, simhash, toxicity
 from octolith.llm.spark import table
 
 
+def op2_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.digest(toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))))
+
+
 def op3_benchmark_decontamination(spark, sf_dir):
     return decontam.digest(decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -22,6 +27,6 @@ def op10_sequence_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_benchmark_decontamination, op4_simhash_near_dedup, op7_personal_data, op10_sequence_packing)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_benchmark_decontamination, op4_simhash_near_dedup, op7_personal_data, op10_sequence_packing)}
 
 ORACLE: dict[str, str] = {}
