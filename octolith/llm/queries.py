@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from octolith.llm import decontam, packing, pii, simhash, toxicity
+from octolith.llm import decontam, katz, packing, pii, simhash, toxicity
 from octolith.llm.spark import table
 
 
@@ -23,10 +23,14 @@ def op7_personal_data(spark, sf_dir):
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
 
+def op9_katz_scoring(spark, sf_dir):
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 def op10_sequence_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_benchmark_decontamination, op4_simhash_near_dedup, op7_personal_data, op10_sequence_packing)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_benchmark_decontamination, op4_simhash_near_dedup, op7_personal_data, op9_katz_scoring, op10_sequence_packing)}
 
 ORACLE: dict[str, str] = {}
