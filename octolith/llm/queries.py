@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from octolith.llm import decontam, katz, packing, pii, simhash, toxicity
+from octolith.llm import ann, decontam, katz, packing, pii, simhash, toxicity
 from octolith.llm.spark import table
 
 
@@ -19,6 +19,11 @@ def op4_simhash_near_dedup(spark, sf_dir):
     return simhash.digest(simhash.groups(table(spark, sf_dir, "documents")))
 
 
+def op5_nearest_neighbours(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op7_personal_data(spark, sf_dir):
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
@@ -31,6 +36,6 @@ def op10_sequence_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_benchmark_decontamination, op4_simhash_near_dedup, op7_personal_data, op9_katz_scoring, op10_sequence_packing)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_benchmark_decontamination, op4_simhash_near_dedup, op5_nearest_neighbours, op7_personal_data, op9_katz_scoring, op10_sequence_packing)}
 
 ORACLE: dict[str, str] = {}
