@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from octolith.llm import ann, decontam, katz, packing, pii, simhash, toxicity
+from octolith.llm import ann, decontam, htmlcrf, katz, packing, pii, simhash, toxicity
 from octolith.llm.spark import table
 
 
+def op1_main_text(spark, sf_dir):
+    return htmlcrf.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return toxicity.digest(toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))))
@@ -36,6 +40,6 @@ def op10_sequence_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_benchmark_decontamination, op4_simhash_near_dedup, op5_nearest_neighbours, op7_personal_data, op9_katz_scoring, op10_sequence_packing)}
+QUERIES = {f.__name__: f for f in (op1_main_text, op2_toxicity, op3_benchmark_decontamination, op4_simhash_near_dedup, op5_nearest_neighbours, op7_personal_data, op9_katz_scoring, op10_sequence_packing)}
 
 ORACLE: dict[str, str] = {}
