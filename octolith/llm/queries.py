@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from octolith.llm import ann, decontam, htmlcrf, katz, packing, pii, simhash, toxicity
+from octolith.llm import ann, cotrain, decontam, htmlcrf, katz, packing, pii, secretscan, simhash, toxicity
 from octolith.llm.spark import table
 
 
@@ -28,10 +28,19 @@ def op5_nearest_neighbours(spark, sf_dir):
     return ann.search(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op6_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return cotrain.digest(cotrain.score(docs, cotrain.train(docs, table(spark, sf_dir, "labels"))))
+
+
 def op7_personal_data(spark, sf_dir):
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
 
+def op8_secret_scan(spark, sf_dir):
+    return secretscan.find(table(spark, sf_dir, "documents"), secretscan.train(secretscan.labelled_findings(spark)))
+
+
 def op9_katz_scoring(spark, sf_dir):
     return katz.score(table(spark, sf_dir, "documents"))
 
@@ -40,6 +49,6 @@ def op10_sequence_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_main_text, op2_toxicity, op3_benchmark_decontamination, op4_simhash_near_dedup, op5_nearest_neighbours, op7_personal_data, op9_katz_scoring, op10_sequence_packing)}
+QUERIES = {f.__name__: f for f in (op1_main_text, op2_toxicity, op3_benchmark_decontamination, op4_simhash_near_dedup, op5_nearest_neighbours, op6_quality, op7_personal_data, op8_secret_scan, op9_katz_scoring, op10_sequence_packing)}
 
 ORACLE: dict[str, str] = {}
