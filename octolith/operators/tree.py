@@ -31,16 +31,23 @@ def cells_at(codes: DataFrame, level: int) -> DataFrame:
 
 
 def counts(codes: DataFrame, params: TreeParams) -> DataFrame:
-    """``level, code, n`` of all cells whose parent can be an inner node (and of some others)."""
-    out, low, left = None, 0, codes.select("code")
-    for at in [b for b in BANDS if b < params.max_depth] + [params.max_depth]:
+    """``level, code, n`` of all cells whose parent can be an inner node (and of some others).
+
+    The first band has at most 8**7 cells at its end whatever the number of points, so it is kept;
+    most trees end within it. Only if cells at its end are over the threshold are further bands planned.
+    """
+    first = min(BANDS[0], params.max_depth)
+    out = pyramid(cells_at(codes, first), first, 0).persist()
+    full = out.where((F.col("level") == first) & (F.col("n") > params.threshold))
+    if first == params.max_depth or full.isEmpty():
+        return out
+    low, left, over = first, codes.select("code"), full.select(F.col("code").alias("over"))
+    for at in [b for b in BANDS[1:] if b < params.max_depth] + [params.max_depth]:
+        left = left.join(over, keys.at_level(F.col("code"), low) == F.col("over"), "left_semi")
         cells = cells_at(left, at)
-        band = pyramid(cells, at, low)
-        out = band if out is None else out.unionByName(band)
-        if at < params.max_depth:
-            over = cells.where(F.col("n") > params.threshold).select(F.col("code").alias("over"))
-            left = left.join(over, keys.at_level(F.col("code"), at) == F.col("over"), "left_semi")
-        low = at + 1
+        out = out.unionByName(pyramid(cells, at, low + 1))
+        over = cells.where(F.col("n") > params.threshold).select(F.col("code").alias("over"))
+        low = at
     return out
 
 

@@ -403,9 +403,9 @@ def scope_percentiles(spark, sf_dir):
     return profile.percentiles(_samples(spark, sf_dir))
 
 
-@query('SELECT event_type "scope", event_id seq, round(avg(value) OVER w, 6) mean, max(value) OVER w most FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 239 PRECEDING AND CURRENT ROW)')
+@query('SELECT event_type "scope", event_id seq, round(avg(value) OVER w, 9) mean, max(value) OVER w most FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 239 PRECEDING AND CURRENT ROW)')
 def moving_frames(spark, sf_dir):
-    return _rounded(profile.moving(_samples(spark, sf_dir)), "mean")
+    return _rounded(profile.moving(_samples(spark, sf_dir)), "mean", digits=9)
 
 
 @query("""WITH m AS (SELECT user_id, event_type phase, CAST(epoch_us(ts) AS BIGINT) ns, event_id i FROM events),
