@@ -32,15 +32,16 @@ class WordIds:
     The tokenizer drops white space and never merges across it, so a text's ids are those of its
     chunks in order. Chunks are cut at ASCII white space only; whatever else a chunk holds is left
     to the tokenizer. ``most`` bounds the remembered chunks; beyond it all are forgotten and
-    learned again, which changes time and never ids.
+    learned again, which changes time and never ids. ``most_stems`` does the same for the pieces
+    that chunks are made of, which are kept as Python objects and so weigh more.
     """
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = 1_000_000, most_stems: int = 100_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.encode = Tokenizer.from_file(path).encode_batch_fast
-        self.most = most
+        self.most, self.most_stems = most, most_stems
         self.forget()
 
     def forget(self) -> None:
@@ -52,7 +53,7 @@ class WordIds:
 
     def _stem_ids(self, stems: list[str]) -> None:
         new = [s for s in dict.fromkeys(stems) if s not in self.stems]
-        if len(self.stems) > self.most:
+        if len(self.stems) + len(new) > self.most_stems:
             self.stems = {s: self.stems[s] for s in stems if s in self.stems}
         for s, e in zip(new, self.encode(new, add_special_tokens=False)):
             self.stems[s] = e.ids
