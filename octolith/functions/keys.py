@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from octolith.config import MAX_DEPTH
@@ -18,18 +16,20 @@ def _and(c: Column, mask: int) -> Column:
     return c.bitwiseAND(F.lit(mask).cast("long"))
 
 
-def spread(c: Column) -> Column:
-    return reduce(lambda x, step: _and(x.bitwiseOR(F.shiftleft(x, step[0])), step[1]), SPREAD, c.cast("long"))
-
-
 def gather(code: Column, axis: int) -> Column:
-    """The coordinate (0: x, 1: y, 2: z) of a code; undoes ``spread``. For nodes: it is short where many expressions are built on it, not fast."""
+    """The coordinate (0: x, 1: y, 2: z) of a code; undoes ``with_morton``. For nodes: it is short where many expressions are built on it, not fast."""
     bit = lambda i: F.call_function("shiftleft", _and(F.call_function("shiftright", code, (i * 3 + (2 - axis)).cast("int")), 1), i)
     return F.aggregate(F.sequence(F.lit(0), F.lit(MAX_DEPTH - 1)), F.lit(0).cast("long"), lambda total, i: total.bitwiseOR(bit(i)))
 
 
-def morton(x: Column, y: Column, z: Column) -> Column:
-    return F.shiftleft(spread(x), 2).bitwiseOR(F.shiftleft(spread(y), 1)).bitwiseOR(spread(z))
+def with_morton(df: DataFrame, name: str, cells: list[Column]) -> DataFrame:
+    """Adds the key of three 20-bit cell numbers. Their bits are spread step by step in columns of their own: nested in one expression each step would double it."""
+    parts = [f"__{name}_{k}" for k in range(3)]
+    df = df.withColumns({p: c.cast("long") for p, c in zip(parts, cells)})
+    for shift, mask in SPREAD:
+        df = df.withColumns({p: _and(F.col(p).bitwiseOR(F.shiftleft(p, shift)), mask) for p in parts})
+    x, y, z = (F.col(p) for p in parts)
+    return df.withColumn(name, F.shiftleft(x, 2).bitwiseOR(F.shiftleft(y, 1)).bitwiseOR(z)).drop(*parts)
 
 
 def unit(c: Column, low: Column, size: Column) -> Column:

@@ -54,12 +54,12 @@ def _unit(axis: str) -> Column:
 def keyed(points: DataFrame, box: DataFrame | None = None) -> DataFrame:
     """Points with unit coordinates ``ux, uy, uz`` in the root cube and their full-depth ``code``."""
     df = with_bounds(points, box).withColumns({f"u{a}": _unit(a) for a in AXES})
-    return df.withColumn("code", keys.morton(*[keys.wrapped(F.col(f"u{a}")) for a in AXES]))
+    return keys.with_morton(df, "code", [keys.wrapped(F.col(f"u{a}")) for a in AXES])
 
 
 def morton_codes(points: DataFrame) -> DataFrame:
     df = keyed(points)
-    return df.select("seq", "code", keys.morton(*[keys.clamped(F.col(f"u{a}")) for a in AXES]).alias("code_clamped"))
+    return keys.with_morton(df, "code_clamped", [keys.clamped(F.col(f"u{a}")) for a in AXES]).select("seq", "code", "code_clamped")
 
 
 def octant_paths(points: DataFrame, depth: int) -> DataFrame:
