@@ -113,7 +113,6 @@ def links(fps: DataFrame, *, radius: int = 3, tile: int = 8192) -> DataFrame:
     changes one of them by one. Tiles of over ``tile`` members are cut into chunks; there are at
     most 17**4 tiles, so their counts can be broadcast.
     """
-    spark = fps.sparkSession
     quarter = [F.bit_count(F.col("fp").bitwiseAND(F.lit(0xFFFF << s if s < 48 else -(1 << 48)).cast("long"))) for s in (0, 16, 32, 48)]
     cell = sum((q * 17**k for k, q in enumerate(quarter[1:], 1)), quarter[0]).cast("int")
     placed = fps.withColumn("cell", cell)
@@ -121,9 +120,9 @@ def links(fps: DataFrame, *, radius: int = 3, tile: int = 8192) -> DataFrame:
     sizes = F.broadcast(sizes)
     blobs = placed.join(sizes, "cell").withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
     blobs = cut(blobs.groupBy("cell", "chunk").agg(F.collect_list("fp").alias("fps")))
-    steps = spark.createDataFrame([(sum(x * 17**k for k, x in enumerate(d)), *d) for d in _shifts(radius)], "step int, d0 int, d1 int, d2 int, d3 int")
+    steps = F.array(*[F.struct(F.lit(sum(x * 17**k for k, x in enumerate(d))).alias("step"), *[F.lit(x).alias(f"d{k}") for k, x in enumerate(d)]) for d in _shifts(radius)])
     there = blobs.select("cell").distinct()
-    near = blobs.select("cell").distinct().crossJoin(F.broadcast(steps))
+    near = there.select("cell", F.inline(steps))
     for k in range(4):
         count = F.floor(F.col("cell") / 17**k).cast("int") % 17 + F.col(f"d{k}")
         near = near.where((count >= 0) & (count <= _QUARTER))
