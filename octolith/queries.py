@@ -13,6 +13,7 @@ from octolith import settings as st
 from octolith.functions import colour, geometry
 from octolith.operators import accum, budget, cloud, profile, raster, refine, select, voxels
 from octolith.operators.tree import Tree, cells_at, pyramid
+from octolith.plans import pipelines, render, report
 from octolith.sources import synthetic, views
 from octolith.streaming import batches
 
@@ -317,6 +318,35 @@ def image_histogram(spark, sf_dir):
     return raster.pixels(_moved(spark, sf_dir), st.CAMERA).groupBy("rgba").agg(F.count("*").alias("pixels"))
 
 
+@query(sql.lod_samples("events") + ", " + sql.fragments("smp") + f" SELECT a.px, b2.py, coalesce(img.rgba, {colour.CLEAR}) rgba FROM (SELECT unnest(range(0, {st.IMAGE[0]})) px) a CROSS JOIN (SELECT unnest(range(0, {st.IMAGE[1]})) py) b2 LEFT JOIN img ON img.px = a.px AND img.py = b2.py")
+def render_frame(spark, sf_dir):
+    built = pipelines.Built(*_tree(spark, sf_dir))
+    return render.frame(built, st.CAMERA, render.Options(st.PIXELS, shade=0.0))
+
+
+@query()
+def render_frame_with_boxes(spark, sf_dir):
+    built = pipelines.Built(*_tree(spark, sf_dir))
+    return render.frame(built, st.CAMERA, render.Options(st.PIXELS, point_size=3, colour="level", show_boxes=True))
+
+
+@query(sql.leaf_points("events") + f" SELECT seq FROM lp WHERE ({st.OCTANT_MASK} >> (CASE WHEN lx >= 5e-1 THEN 1 ELSE 0 END + CASE WHEN ly >= 5e-1 THEN 2 ELSE 0 END + CASE WHEN lz >= 5e-1 THEN 4 ELSE 0 END)) & 1 = 1")
+def octant_mask_filter(spark, sf_dir):
+    points = accum.local(_tree(spark, sf_dir)[0].assigned(), F.col("level"))
+    return select.octant_kept(points, st.OCTANT_MASK).select("seq")
+
+
+_GRIDS = sql.voxels("events")
+
+
+@query(_GRIDS + f""", s AS (SELECT {sql.STATS} FROM nodes), v AS (SELECT count(*) voxels FROM vox), c AS (SELECT sum(CASE WHEN is_inner THEN 0 ELSE ceil(n / 1000) END) point_chunks FROM nodes),
+r AS (SELECT *, points * 26 + least(50, ceil(points / 1000000)) * 16000000 + {budget.FIXED} required FROM s, v, c)
+SELECT unnest(['points', 'nodes', 'inner_nodes', 'leaves', 'nonempty_leaves', 'max_points_per_leaf', 'depth', 'point_chunks', 'voxels', 'over_capacity', 'over_draw_list', 'nodes_add_up', 'predicted_percent', 'required_bytes']) "name",
+ unnest([points, nodes, inner_nodes, leaves, nonempty_leaves, max_points_per_leaf, depth, point_chunks, voxels, 0, 0, 1, 0, required]::DOUBLE[]) "value" FROM r""")
+def build_report(spark, sf_dir):
+    return report.build_report(pipelines.Built(*_tree(spark, sf_dir)), 6_000_000_000)
+
+
 # batches and streams
 
 
@@ -329,6 +359,13 @@ def progressive_octree(spark, sf_dir):
     return batches.progressive(cloud.keyed(views.events(spark, sf_dir)), st.TREES["events"], st.BATCH, st.PROGRESS_DEPTH)
 
 
+@query(ORACLE["progressive_octree"].replace("SELECT batch, sum(", "SELECT count(*) batches, max(points) points, max(inner_nodes) splits, round(max(inner_nodes)::DOUBLE / count(*), 6) splits_per_batch FROM (SELECT batch, sum(") + ")")
+def batch_ratios(spark, sf_dir):
+    df = batches.progressive(cloud.keyed(views.events(spark, sf_dir)), st.TREES["events"], st.BATCH, st.PROGRESS_DEPTH)
+    df = df.agg(F.count("*").alias("batches"), F.max("points").alias("points"), F.max("inner_nodes").alias("splits"))
+    return df.withColumn("splits_per_batch", F.round(F.col("splits") / F.col("batches"), 6))
+
+
 @query(f"SELECT CAST(floor(event_id / {st.BATCH}) AS BIGINT) batch, count(*) points, batch % {st.SLOTS} slot, batch // {st.SLOTS} \"round\", CASE WHEN batch >= {st.SLOTS} THEN batch - {st.SLOTS} END replaces FROM events GROUP BY batch")
 def batch_ring_schedule(spark, sf_dir):
     return batches.schedule(views.events(spark, sf_dir), st.BATCH, st.SLOTS)

@@ -21,3 +21,4 @@ QUEUE_POINTS = 5000
 DEEPEN = (0.05, 100)
 COLLAPSE = 0.2
 ADMISSION = [("ring", n, b, False) for n, b in ((36_200_706, 9_000_000_000), (350_360_028, 6_000_000_000), (350_360_028, 7_050_000_000), (350_360_028, 7_070_000_000), (350_360_028, 11_000_000_000), (1_000, 500_000_000), (1_000_000, 1_200_000_000))] + [("resident", n, b, True) for n, b in ((36_200_706, 9_000_000_000), (60_000_000, 20_000_000_000))]
+OCTANT_MASK = 0b10010110

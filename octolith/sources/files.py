@@ -11,7 +11,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+
+from octolith.config import BATCH_POINTS
 
 SCHEMA = "seq long, x double, y double, z double, rgba long"
 SPLIT_POINTS = 4_000_000
@@ -125,6 +127,30 @@ class _Reader(DataSourceReader):
                 at, left = at + n, left - n
 
 
+class _StreamReader(DataSourceStreamReader):
+    """A file as a finite stream: each micro-batch takes the next ``batch_points`` points; offsets are points, so a restart goes on where the last commit was."""
+
+    def __init__(self, path: str, batch_points: int, split: int):
+        self.inner, self.batch, self.seen = _Reader(path, split), batch_points, 0
+
+    def initialOffset(self) -> dict:
+        return {"point": 0}
+
+    def latestOffset(self) -> dict:
+        self.seen = min(self.seen + self.batch, self.inner.header.points)
+        return {"point": self.seen}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        self.seen = max(self.seen, end["point"])
+        return [_Range(k, min(self.inner.split, end["point"] - k)) for k in range(start["point"], end["point"], self.inner.split)]
+
+    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
+        return self.inner.read(partition)
+
+    def commit(self, end: dict) -> None:
+        """Nothing to free: the file stays."""
+
+
 class PointFileSource(DataSource):
     """``spark.read.format("points").load(path)``: seekable ranges of one file on a path that all executors share."""
 
@@ -140,6 +166,11 @@ class PointFileSource(DataSource):
             raise ValueError("a point file needs a path")
         return _Reader(path, int(self.options.get("split_points", SPLIT_POINTS)))
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        if not (path := self.options.get("path")):
+            raise ValueError("a point file needs a path")
+        return _StreamReader(path, int(self.options.get("batch_points", BATCH_POINTS)), int(self.options.get("split_points", SPLIT_POINTS)))
+
 
 def load_cloud(spark: SparkSession, paths: str | list[str], **options) -> DataFrame:
     """The points of one file, in file order by ``seq``."""

@@ -81,3 +81,26 @@ def test_image_file(spark, tmp_path):
     assert data[:11] == b"P6\n8 4\n255\n" and len(data) == 11 + 96
     assert data[11 + 3 * (3 * 8 + 1) :][:3] == b"\xff\0\0"
     assert data[11:14] == bytes([colour.CLEAR & 255, colour.CLEAR >> 8 & 255, colour.CLEAR >> 16 & 255])
+
+
+def test_a_file_as_a_stream(spark, tmp_path):
+    (tmp_path / "c.las").write_bytes(las())
+    spark.dataSource.register(files.PointFileSource)
+    stream = spark.readStream.format("points").option("batch_points", 30).option("split_points", 13).load(str(tmp_path / "c.las"))
+    sizes = []
+    query = stream.writeStream.foreachBatch(lambda df, k: sizes.append(df.count())).option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert [n for n in sizes if n] == [30, 30, 30, 10]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from octolith.__main__ import main
+
+    (tmp_path / "d.las").write_bytes(las())
+    assert main(["--list-datasets", str(tmp_path)]) == 0
+    assert main(["--synthetic", "300", "--threshold", "40", "--size", "32x18", "--lod-budget", "8", "--dump-frame", str(tmp_path / "f.ppm")]) == 0
+    assert (tmp_path / "f.ppm").read_bytes().startswith(b"P6\n32 18\n255\n")
+    assert "inner_nodes" in capsys.readouterr().out
