@@ -232,7 +232,16 @@ def node_plane_residual(spark, sf_dir):
     return df.select(F.col("level").cast("long").alias("level"), "code", F.round(F.sqrt(F.greatest("e_min", F.lit(0.0))) * F.col("size") / F.pow(F.lit(2.0), F.col("level")), 4).alias("residual"))
 
 
-@query()
+_CROSS = " UNION ALL ".join(f"SELECT level, code, {a}1 * {b}2 - {a}2 * {b}1 x, {a}2 * {b}0 - {a}0 * {b}2 y, {a}0 * {b}1 - {a}1 * {b}0 z FROM rw" for a, b in ("rs", "rt", "st"))
+_NORMAL = ", ".join(f"CASE WHEN v.l > 0 THEN round(v.{a} / sqrt(v.l) * s, 4) ELSE 0 END n{a}" for a in "xyz")
+
+
+@query(sql.shapes("events") + f""",
+rw AS (SELECT level, code, cxx - e_min r0, cxy r1, cxz r2, cxy s0, cyy - e_min s1, cyz s2, cxz t0, cyz t1, czz - e_min t2 FROM shp WHERE n >= 20),
+cr AS ({_CROSS}),
+mx AS (SELECT level, code, max({{'l': x * x + y * y + z * z, 'x': x, 'y': y, 'z': z}}) v FROM cr GROUP BY ALL),
+sg AS (SELECT *, CASE WHEN CASE WHEN abs(v.x) >= abs(v.y) AND abs(v.x) >= abs(v.z) THEN v.x WHEN abs(v.y) >= abs(v.z) THEN v.y ELSE v.z END < 0 THEN -1 ELSE 1 END s FROM mx)
+SELECT level::BIGINT "level", code, {_NORMAL} FROM sg""")
 def node_normals(spark, sf_dir):
     df = geometry.with_normals(accum.shape(_rolled(spark, sf_dir)).where("n >= 20"))
     return _rounded(df.select(F.col("level").cast("long").alias("level"), "code", "nx", "ny", "nz"), "nx", "ny", "nz", digits=4)
