@@ -121,14 +121,12 @@ def links(fps: DataFrame, *, radius: int = 3, tile: int = 8192) -> DataFrame:
     blobs = placed.join(sizes, "cell").withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
     blobs = cut(blobs.groupBy("cell", "chunk").agg(F.collect_list("fp").alias("fps")))
     steps = F.array(*[F.struct(F.lit(sum(x * 17**k for k, x in enumerate(d))).alias("step"), *[F.lit(x).alias(f"d{k}") for k, x in enumerate(d)]) for d in _shifts(radius)])
-    there = blobs.select("cell").distinct()
-    near = there.select("cell", F.inline(steps))
+    there = F.broadcast(blobs.select(F.col("cell").alias("other")).distinct())
+    sent = blobs.select("cell", F.col("chunk").alias("left_chunk"), F.col("fps").alias("left"), F.inline(steps))
     for k in range(4):
         count = F.floor(F.col("cell") / 17**k).cast("int") % 17 + F.col(f"d{k}")
-        near = near.where((count >= 0) & (count <= _QUARTER))
-    pairs = near.select("cell", (F.col("cell") + F.col("step")).alias("other"))
-    pairs = pairs.join(F.broadcast(there.select(F.col("cell").alias("other"))), "other", "left_semi")
-    sent = blobs.select("cell", F.col("chunk").alias("left_chunk"), F.col("fps").alias("left")).join(pairs, "cell")
+        sent = sent.where((count >= 0) & (count <= _QUARTER))
+    sent = sent.withColumn("other", F.col("cell") + F.col("step")).join(there, "other", "left_semi")
     met = sent.select(F.col("cell").alias("from"), "left_chunk", "left", F.col("other").alias("cell")).join(blobs.withColumnRenamed("fps", "right"), "cell")
     inner = F.col("from") == F.col("cell")
     met = met.where(~inner | (F.col("left_chunk") <= F.col("chunk")))
