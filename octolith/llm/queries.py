@@ -51,4 +51,16 @@ def op10_sequence_packing(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_main_text, op2_toxicity, op3_benchmark_decontamination, op4_simhash_near_dedup, op5_nearest_neighbours, op6_quality, op7_personal_data, op8_secret_scan, op9_katz_scoring, op10_sequence_packing)}
 
-ORACLE: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE: dict[str, str] = {
+    "op3_benchmark_decontamination": f"""WITH
+iw AS (SELECT item_id, {_WORDS} w, least(10, len(w)) k FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+win AS (SELECT DISTINCT item_id, k, w[i:i + k - 1] key FROM (SELECT *, unnest(range(1, len(w) - k + 2)) i FROM iw WHERE k > 0)),
+d AS (SELECT doc_id, coalesce({_WORDS}, []) w FROM documents),
+dw AS (SELECT doc_id, k, i, w[i:i + k - 1] key FROM (SELECT d.*, k, unnest(range(1, len(w) - k + 2)) i FROM d, (SELECT DISTINCT k FROM win))),
+hit AS (SELECT doc_id, item_id, i, k FROM dw JOIN win USING (k, key)),
+pos AS (SELECT doc_id, count(DISTINCT p) n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) p FROM hit) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) n_items, string_agg(item, ',' ORDER BY item) items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR item FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(w) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(items, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)""",
+}
