@@ -162,8 +162,13 @@ def deduplicate(docs: DataFrame, *, width: int = 3, seed: int = 42, radius: int
     Rows with a null ``doc_id`` cannot be named and stay. Of rows that repeat the ``doc_id`` one
     stays. All columns stay as they are.
     """
+    return keep_first(docs, groups(docs, width=width, seed=seed, radius=radius))
+
+
+def keep_first(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that name a group of ``grouped(doc_id, component_id)``, each ``doc_id`` once, and those without a ``doc_id``."""
     kept, number = temporary(docs, "kept_id"), temporary(docs, "kept_number")
-    keep = groups(docs, width=width, seed=seed, radius=radius).where("doc_id = component_id").select(F.col("doc_id").alias(kept)).distinct()
+    keep = grouped.where("doc_id = component_id").select(F.col("doc_id").alias(kept)).distinct()
     named = docs.where("doc_id is not null").join(keep, F.col("doc_id") == F.col(kept), "left_semi")
     window = Window.partitionBy("doc_id").orderBy("doc_id")
     named = named.withColumn(number, F.row_number().over(window)).where(F.col(number) == 1).drop(number)

@@ -272,3 +272,41 @@ def test_nulls_repeats_and_no_rows(spark):
     assert got == [("5", 5), ("5", 5), ("None", 5)]
     assert sorted(str(x.doc_id) for x in simhash.deduplicate(df).collect()) == ["5", "None"]
     assert simhash.groups(df.where("doc_id < 0")).count() == 0
+
+
+def test_pipeline_stage_finds_all_pairs_by_jaccard(spark):
+    import corpus_pipeline
+
+    r = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    passage = [r.choice(vocabulary) for _ in range(25)]
+    texts = [*mixed(9), "a b c", "A  b c", "a b"]
+    for _ in range(25):
+        base = [r.choice(vocabulary) for _ in range(r.choice((12, 60, 150)))]
+        for edits in (0, 1, 2, 3, 5):
+            own = list(base)
+            for _ in range(edits):
+                own[r.randrange(len(own))] = r.choice(vocabulary)
+            texts.append(" ".join(own))
+    base = [r.choice(vocabulary) for _ in range(120)]
+    for _ in range(40):  # a long list: one large group, some of it only linked through others
+        own = list(base)
+        for _ in range(r.choice((1, 2, 3, 4))):
+            own[r.randrange(len(own))] = r.choice(vocabulary)
+        texts.append(" ".join(own))
+    texts += [" ".join(passage + [r.choice(vocabulary) for _ in range(r.choice((3, 6)))]) for _ in range(40)]
+    sets = []
+    for t in texts:
+        w = re.findall("[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    group = list(range(len(texts)))
+    far = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) / max(1, len(sets[i] | sets[j])) >= 0.8:
+                far += (simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[j])).bit_count() > 3
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    want = sorted(min(k for k in range(len(texts)) if group[k] == g) for g in set(group))
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs(spark, texts), "")
+    assert far > 20 and sorted(row.doc_id for row in kept.collect()) == want
