@@ -30,6 +30,11 @@ def cells_at(codes: DataFrame, level: int) -> DataFrame:
     return codes.groupBy(keys.at_level(F.col("code"), level).alias("code")).agg(F.count("*").alias("n"))
 
 
+def band_ends(depth: int) -> list[int]:
+    """Ends of the bands of levels that can have inner nodes, in a tree of that depth."""
+    return [b for b in BANDS if b < depth - 1] + [depth - 1]
+
+
 def counts(codes: DataFrame, params: TreeParams) -> DataFrame:
     """``level, code, n`` of all cells whose parent can be an inner node (and of some others).
 

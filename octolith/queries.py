@@ -365,12 +365,12 @@ bt AS (SELECT DISTINCT batch FROM c),
 s AS (SELECT bt.batch, level, code, sum(n) n FROM bt JOIN c ON c.batch <= bt.batch GROUP BY ALL)
 SELECT batch, sum(CASE WHEN level = 0 THEN n END)::BIGINT points, count_if(n > {st.TREES['events'].threshold})::BIGINT inner_nodes, (8 * count_if(n > {st.TREES['events'].threshold}) + 1)::BIGINT nodes FROM s GROUP BY batch""")
 def progressive_octree(spark, sf_dir):
-    return batches.progressive(cloud.keyed(views.events(spark, sf_dir)), st.TREES["events"], st.BATCH, st.PROGRESS_DEPTH)
+    return batches.progressive(cloud.keyed(views.events(spark, sf_dir)), st.TREES["events"], st.BATCH, st.TREES["events"].max_depth)
 
 
 @query(ORACLE["progressive_octree"].replace("SELECT batch, sum(", "SELECT count(*) batches, max(points) points, max(inner_nodes) splits, round(max(inner_nodes)::DOUBLE / count(*), 6) splits_per_batch FROM (SELECT batch, sum(") + ")")
 def batch_ratios(spark, sf_dir):
-    df = batches.progressive(cloud.keyed(views.events(spark, sf_dir)), st.TREES["events"], st.BATCH, st.PROGRESS_DEPTH)
+    df = batches.progressive(cloud.keyed(views.events(spark, sf_dir)), st.TREES["events"], st.BATCH, st.TREES["events"].max_depth)
     df = df.agg(F.count("*").alias("batches"), F.max("points").alias("points"), F.max("inner_nodes").alias("splits"))
     return df.withColumn("splits_per_batch", F.round(F.col("splits") / F.col("batches"), 6))
 
@@ -402,7 +402,7 @@ def stream_equals_batch(spark, sf_dir):
     folder = f"{root}/stream-{uuid.uuid4().hex}"
     points = views.events(spark, sf_dir)
     box = cloud.bounds(points).first()
-    state = batches.CellState(f"{folder}/state", st.PROGRESS_DEPTH, (box["xmin"], box["ymin"], box["zmin"], box["size"]))
+    state = batches.CellState(f"{folder}/state", st.TREES["events"].max_depth, (box["xmin"], box["ymin"], box["zmin"], box["size"]))
     points.repartition(4, "seq").write.option("maxRecordsPerFile", 5000).parquet(f"{folder}/in")
     batches.run_stream(spark, f"{folder}/in", points.schema.simpleString()[7:-1].replace(":", " "), state, f"{folder}/checkpoint", 2)
     return state.inner(spark, st.TREES["events"].threshold).withColumn("level", F.col("level").cast("long"))

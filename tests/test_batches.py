@@ -80,3 +80,19 @@ def test_registry(spark):
         assert p.select(p.build(points), settings.CAMERA, settings.PIXELS).count() >= 0
     with pytest.raises(ValueError):
         pipelines.FixedDepth(depth=9)
+
+
+def test_trees_of_batches_go_as_deep_as_the_whole_one(spark, tmp_path, monkeypatch):
+    from octolith import queries
+
+    points = spark.range(900).selectExpr("id * 7 seq", "if(id % 3 = 0, 5.0, id * 0.9) x", "if(id % 3 = 0, 5.0, id * 0.5) y", "if(id % 3 = 0, 5.0, 900.0 - id) z", "0L rgba")
+    points.write.parquet(str(tmp_path / "points"))
+    points = spark.read.parquet(str(tmp_path / "points"))
+    monkeypatch.setattr(views, "events", lambda spark, sf_dir: points)
+    tree = Tree.adaptive(cloud.keyed(points), settings.TREES["events"])
+    want = {(r.level, r.code, r.n) for r in tree.cells.join(tree.inner, ["level", "code"]).collect()}
+    assert max(level for level, _, _ in want) == 19
+    assert {(r.level, r.code, r.n) for r in queries.stream_equals_batch(spark, "").collect()} == want
+    last = queries.progressive_octree(spark, "").orderBy("batch").collect()[-1]
+    assert (last.points, last.inner_nodes) == (900, len(want))
+    assert queries.batch_ratios(spark, "").first().splits == len(want)
