@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +32,9 @@ class WordIds:
 
     The tokenizer drops white space and never merges across it, so a text's ids are those of its
     chunks in order. Chunks are cut at ASCII white space only; whatever else a chunk holds is left
-    to the tokenizer. ``most`` bounds the remembered chunks; beyond it all are forgotten and
+    to the tokenizer. Keys disregard the case of A-Z as the tokenizer does, except in chunks with
+    ``<|``: the tokenizer's special tokens begin so, and it looks for them before it lowers anything.
+    ``most`` bounds the remembered chunks; beyond it all are forgotten and
     learned again, which changes time and never ids. ``most_stems`` does the same for the pieces
     that chunks are made of, which are kept as Python objects and so weigh more.
     """
@@ -89,13 +92,23 @@ class WordIds:
         at[at == len(self.keys)] = 0
         return at, (self.keys[at] == keys) if len(self.keys) else np.zeros(len(keys), bool)
 
+    @staticmethod
+    def _keys(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        keys = textbytes.keys(buffer, starts, ends)
+        special = np.flatnonzero((buffer[:-1] == ord("<")) & (buffer[1:] == ord("|")))
+        if len(special):
+            own = np.unique(np.searchsorted(starts, special, side="right") - 1)
+            raw = buffer.tobytes()
+            keys[own] = np.array([xxhash.xxh64_intdigest(raw[a:b], 1) for a, b in zip(starts[own].tolist(), ends[own].tolist())], np.uint64)
+        return keys
+
     def batch(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after the other, and the number of each text."""
         buffer, row_at = textbytes.joined(column)
         starts, ends = textbytes.words(buffer, textbytes.SPACED)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(row_at) - 1, np.int64)
-        keys = textbytes.keys(buffer, starts, ends)
+        keys = self._keys(buffer, starts, ends)
         order = np.argsort(keys)
         sorted_keys = keys[order]
         new = np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])

@@ -73,6 +73,21 @@ def test_packing_is_exact(spark):
         assert total <= 256 and total & (total - 1) == 0
 
 
+@pytest.mark.parametrize("order", [1, -1])
+def test_special_tokens_keep_their_case(spark, order):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    texts = [f"{a}{x}{b}" for x in ("<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|startoftext|>", "<|STARTOFTEXT|>", "<|", "<|A", "<|a") for a, b in (("", " a"), ("X", "y."), ("x", "Y."))][::order]
+    want = {t: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts}
+    for parts in (1, 3):
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(parts)
+        got = {}
+        for r in sorted(packing.pack(df, capacity=16, with_ids=True).collect(), key=lambda r: r.start):
+            got.setdefault(texts[r.doc_id], []).extend(r.ids)
+        assert got == want
+
+
 def test_packing_balances_costs():
     r = random.Random(4)
     pieces = packing.assign([r.randint(1, 700) for _ in range(400)], 1024, 1.0, 1 / 1024)
