@@ -5,14 +5,13 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from octolith.llm.blocks import Block, Element, parse
+from octolith.llm.blocks import Block, Node, parse
 from octolith.llm.pagegen import labelled_pages
 
 SCHEMA = "page_id long, url string, text string, n_chars long, n_blocks long, n_main long"
@@ -20,21 +19,26 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _CUE = re.compile(r"©|cookie|copyright|all rights reserved|subscribe|newsletter|sign up|log in|advertis|sponsor|privacy|share|follow us|comments?\b|repl(?:y|ies)|read more|related|menu", re.I)
 
 
-def path_features(path: tuple[Element, ...]) -> list[str]:
+def _own_features(path: Node | None) -> list[str]:
+    """Features of a path that its parent's path need not have: the innermost tags by place, an article within another, no names at all."""
+    if path is None:
+        return ["no-names"]
+    out = [f"t0:{path.element.tag}"]
+    if path.parent:
+        out.append(f"t1:{path.parent.element.tag}")
+    if path.articles > 1:
+        out.append("nested-article")
+    if not path.named:
+        out.append("no-names")
+    return out
+
+
+def path_features(path: Node | None) -> list[str]:
     """Tags of all ancestors, the innermost ones by place, and the names (class, id, role) that elements carry."""
-    out = {f"t:{e.tag}" for e in path}
-    for back, e in enumerate(reversed(path[-2:])):
-        out.add(f"t{back}:{e.tag}")
-    for e in path:
-        for n in e.names:
-            out.add(f"c:{n}")
-            if len(n) > 4:
-                out.add(f"s:{n[:4]}")
-    articles = sum(e.tag == "article" for e in path)
-    if articles > 1:
-        out.add("nested-article")
-    if not any(e.names for e in path):
-        out.add("no-names")
+    out, node = _own_features(path), path
+    while node:
+        out += node.new
+        node = node.parent
     return sorted(out)
 
 
@@ -56,7 +60,7 @@ def pair_kind(a: Block, b: Block) -> int:
     """0: the same parent element; 1: another parent; 2: another parent, and b is a heading."""
     if a.parent == b.parent:
         return 0
-    return 2 if b.path and b.path[-1].tag in _HEADINGS else 1
+    return 2 if b.path and b.path.element.tag in _HEADINGS else 1
 
 
 class Crf:
@@ -65,12 +69,22 @@ class Crf:
     def __init__(self) -> None:
         self.weight: dict[str, list[float]] = {}
         self.move = np.zeros((3, 2, 2))
-        self.path_score = lru_cache(maxsize=100_000)(self._path_score)
-
-    def _path_score(self, path: tuple[Element, ...]) -> tuple[float, float]:
-        return self._sum(path_features(path))
 
-    def _sum(self, names: list[str]) -> tuple[float, float]:
+    def path_score(self, path: Node | None, known: dict[int, tuple[float, float]]) -> tuple[float, float]:
+        """The sum over the features of a path. ``known`` holds, by number, what the marks of the page's elements so far add up to."""
+        chain, node = [], path
+        while node and node.number not in known:
+            chain.append(node)
+            node = node.parent
+        a, b = known[node.number] if node else (0.0, 0.0)
+        for node in reversed(chain):
+            own = self._sum(node.new)
+            a, b = a + own[0], b + own[1]
+            known[node.number] = a, b
+        own = self._sum(_own_features(path))
+        return a + own[0], b + own[1]
+
+    def _sum(self, names) -> tuple[float, float]:
         a = b = 0.0
         for n in names:
             if w := self.weight.get(n):
@@ -83,9 +97,9 @@ class Crf:
         if not blocks:
             return []
         moves = self.move.tolist()
-        best, back = (0.0, 0.0), []
+        best, back, known = (0.0, 0.0), [], {}
         for k, block in enumerate(blocks):
-            p, t = self.path_score(block.path), self._sum(text_features(block))
+            p, t = self.path_score(block.path, known), self._sum(text_features(block))
             if k:
                 (oo, om), (mo, mm) = moves[pair_kind(blocks[k - 1], block)]
                 from_o, from_m = best
@@ -140,7 +154,6 @@ class Crf:
                 gm += move * move
                 self.move -= rate * move / np.sqrt(gm)
         self.weight = {n: w[i].tolist() for n, i in index.items()}
-        self.path_score.cache_clear()
         return self
 
     def __getstate__(self):

@@ -27,11 +27,131 @@ LOWER = {i: i + 32 for i in range(65, 91)}
     ('<div title="a>b">x</div><p class=', ["x"]),
     ("<title>no</title><p>yes<script>never ends", ["yes"]),
     ("", []), ("<" * 50, ["<" * 50]), ("</p></div>x", ["x"]),
+    ('<script src="a.js"/>var leak=1;</script><style/>.x{color:red}</style><p>yes', ["yes"]),
+    ("<svg/><p>one<svg><path d=1><p>two<select><option>three<p>four", ["one", "two", "three", "four"]),
+    ("<svg><title>no</title></svg>a<select><option>no</select>b<template><p>no</template>", ["a", "b"]),
+    ("<table><tr><td>a<td>b<tr><td>c</table>d", ["a", "b", "c", "d"]),
+    ("<div/>in<a href=http://e.org/>link</a></div>out", ["inlink", "out"]),
 ])
 def test_blocks(page, texts):
     assert [b.text for b in parse(page)] == texts
 
 
+def _plain_blocks(page):
+    """Blocks with whole paths, found by searching the list of open elements."""
+    from octolith.llm import blocks
+
+    open_, out, text, links, opened = [], [], [], 0, 0
+
+    def flush():
+        nonlocal links
+        joined = " ".join("".join(text).split())
+        if joined:
+            own = list(open_)
+            while own and own[-1][0].tag in blocks.INLINE:
+                own.pop()
+            out.append(([e for e, _ in own], own[-2][1] if len(own) > 1 else 0, joined, links, next((e.label for e, _ in reversed(open_) if e.label), "")))
+        text.clear()
+        links = 0
+
+    def close(k):
+        if any(e.tag not in blocks.INLINE for e, _ in open_[k:]):
+            flush()
+        del open_[k:]
+
+    def tags():
+        return [e.tag for e, _ in open_]
+
+    at = 0
+    while at < len(page):
+        m = blocks._TOKEN.search(page, at)
+        piece = blocks.html.unescape(page[at : m.start() if m else len(page)])
+        text.append(piece)
+        links += len(piece.strip()) if "a" in tags() else 0
+        if not m:
+            break
+        at = m.end()
+        tag = (m[1] or m[3] or "").lower()
+        if tag and tag not in blocks.INLINE:
+            flush()
+        if m[1]:
+            if tag not in blocks.INLINE:
+                outer = [k for k, t in enumerate(tags()) if t not in blocks.INLINE]
+                if outer and tags()[outer[-1]] == "p":
+                    close(outer[-1])
+                ends, within = blocks.IMPLIED_END.get(tag, ("", ()))
+                limit = max((k for k, t in enumerate(tags()) if t in within), default=-1)
+                found = [k for k, t in enumerate(tags()) if t in ends.split() and k > limit]
+                if found:
+                    close(found[0])
+            if tag in blocks.VOID or tag in ("svg", "math") and m[2].endswith("/"):
+                continue
+            if tag in blocks.RAW | blocks.LEFT_OUT:
+                closing = re.search(rf"</{tag}(?=[\s/>])[^>]*>?", page[at:], re.I)
+                at = at + closing.end() if closing else len(page) if tag in blocks.RAW else at
+                continue
+            opened += 1
+            open_.append((blocks._element(tag, m[2]), opened))
+        elif tag in tags():
+            close(len(open_) - 1 - tags()[::-1].index(tag))
+    flush()
+    return out
+
+
+def _plain_features(path):
+    out = {m for e in path for m in e.marks} | {f"t{k}:{e.tag}" for k, e in enumerate(path[:-3:-1])}
+    out |= {"nested-article"} if sum(e.tag == "article" for e in path) > 1 else set()
+    return sorted(out | (set() if any(e.names for e in path) else {"no-names"}))
+
+
+def _odd_page(r):
+    parts = ["<div>", "</div>", "<p>", "</p>", "<b>", "</b>", "<a href=/>", "</a>", "<ul>", "<li>", "</ul>", "<table>", "<tr>", "<td>", "</table>", "<article class='main x'>", "</article>", "<br/>", "<svg>", "</svg>", "<script/>", "</script>", "<select>", "word ", "Two words. ", "&amp;", "<section id=side hidden>", "</section>", "<h2>", "</h2>", "<dl>", "<dt>", "<dd>", "</dl>"]
+    return "".join(r.choice(parts) for _ in range(r.choice((5, 30, 120))))
+
+
+def test_blocks_and_features_equal_a_plain_search(spark):
+    r = random.Random(8)
+    pages = [_odd_page(r) for _ in range(300)] + pagegen.labelled_pages(20, seed=3)
+    model = htmlcrf.train()
+    for page in pages:
+        got, want = parse(page), _plain_blocks(page)
+        assert [(b.parent, b.text, b.link_chars, b.label) for b in got] == [w[1:] for w in want]
+        known = {}
+        for b, w in zip(got, want):
+            assert htmlcrf.path_features(b.path) == _plain_features(w[0])
+            assert model.path_score(b.path, known) == pytest.approx(model._sum(_plain_features(w[0])))
+
+
+def test_query_equals_a_plain_decoder(spark):
+    """The whole query against dynamic programming in plain Python over plainly found blocks."""
+    r = random.Random(4)
+    pages = [_odd_page(r) for _ in range(60)] + pagegen.labelled_pages(20, seed=9) + [None, ""]
+    model = htmlcrf.train()
+    got = {x.page_id: x.text for x in htmlcrf.extract(spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").selectExpr("page_id", "'u' url", "html")).collect()}
+    for i, page in enumerate(pages):
+        blocks = _plain_blocks(page or "")
+        table = []
+        for k, (path, parent, text, link_chars, _) in enumerate(blocks):
+            names = _plain_features(path) + htmlcrf.text_features(htmlcrf.Block(None, 0, text, link_chars, ""))
+            own = [sum(model.weight.get(n, (0, 0))[y] for n in names) for y in (0, 1)]
+            if k:
+                kind = 0 if blocks[k - 1][1] == parent else 2 if path and path[-1].tag in htmlcrf._HEADINGS else 1
+                table.append([max((table[-1][x][0] + model.move[kind, x, y] + own[y], table[-1][x][1] + [y]) for x in (0, 1)) for y in (0, 1)])
+            else:
+                table.append([(own[y], [y]) for y in (0, 1)])
+        labels = max(table[-1])[1] if table else []
+        assert got[i] == " ".join(b[2] for b, y in zip(blocks, labels) if y)
+
+
+def test_deep_and_long_pages_take_their_length(spark):
+    import time
+
+    began = time.time()
+    for page in ("<div>x" * 50_000, "<b>x<br>" * 50_000, "<b>" * 30_000 + "<div></div>x" * 30_000, "<div>" * 30_000 + "<li>x</li></i>" * 30_000, "<svg><p>x" * 30_000):
+        htmlcrf.main_text(page, htmlcrf.train())
+    assert time.time() - began < 60
+
+
 def test_crf_finds_articles_of_unseen_layouts():
     model = htmlcrf.train()
     wrong = total = 0
