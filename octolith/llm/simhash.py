@@ -10,10 +10,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from octolith.llm import textbytes
 from octolith.llm.components import components
-from octolith.llm.spark import cut, temporary
+from octolith.llm.spark import cut, spread_join, temporary
 
 _QUARTER = 16
 
@@ -119,15 +120,18 @@ def links(fps: DataFrame, *, radius: int = 3, tile: int = 8192) -> DataFrame:
     sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / tile).cast("int").alias("chunks"))
     sizes = F.broadcast(sizes)
     blobs = placed.join(sizes, "cell").withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
-    blobs = cut(blobs.groupBy("cell", "chunk").agg(F.collect_list("fp").alias("fps")))
+    blobs = blobs.groupBy("cell", "chunk").agg(F.collect_list("fp").alias("fps"))
+    blobs = cut(blobs.withColumn("chunk", F.row_number().over(Window.partitionBy("cell").orderBy("chunk")) - 1))  # without gaps
     steps = F.array(*[F.struct(F.lit(sum(x * 17**k for k, x in enumerate(d))).alias("step"), *[F.lit(x).alias(f"d{k}") for k, x in enumerate(d)]) for d in _shifts(radius)])
-    there = F.broadcast(blobs.select(F.col("cell").alias("other")).distinct())
+    there = F.broadcast(blobs.groupBy(F.col("cell").alias("other")).agg(F.count("*").cast("int").alias("parts")))
     sent = blobs.select("cell", F.col("chunk").alias("left_chunk"), F.col("fps").alias("left"), F.inline(steps))
     for k in range(4):
         count = F.floor(F.col("cell") / 17**k).cast("int") % 17 + F.col(f"d{k}")
         sent = sent.where((count >= 0) & (count <= _QUARTER))
-    sent = sent.withColumn("other", F.col("cell") + F.col("step")).join(there, "other", "left_semi")
-    met = sent.select(F.col("cell").alias("from"), "left_chunk", "left", F.col("other").alias("cell")).join(blobs.withColumnRenamed("fps", "right"), "cell")
+    sent = sent.withColumn("other", F.col("cell") + F.col("step")).join(there, "other")
+    # a chunk goes to each chunk of a neighbouring cell, so the chunks of a full cell are compared in tasks of their own
+    sent = sent.select(F.col("cell").alias("from"), "left_chunk", "left", F.col("other").alias("cell"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("chunk"))
+    met = sent.join(blobs.withColumnRenamed("fps", "right"), ["cell", "chunk"])
     inner = F.col("from") == F.col("cell")
     met = met.where(~inner | (F.col("left_chunk") <= F.col("chunk")))
     met = met.select("left", "right", (inner & (F.col("left_chunk") == F.col("chunk"))).alias("same"))
@@ -152,8 +156,8 @@ def groups(docs: DataFrame, *, width: int = 3, seed: int = 42, radius: int = 3)
     rooted = first.withColumn("v", number("fp")).join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
     rooted = cut(rooted.select("fp", "first", "root"))
     smallest = cut(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
-    named = cut(rooted.join(smallest, "root").select("fp", "component_id"))
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = cut(spread_join(rooted, smallest, "root", "fp").select("fp", "component_id"))
+    return spread_join(marked, named, "fp", "doc_id").select("doc_id", "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, *, width: int = 3, seed: int = 42, radius: int = 3) -> DataFrame:
@@ -162,17 +166,18 @@ def deduplicate(docs: DataFrame, *, width: int = 3, seed: int = 42, radius: int
     Rows with a null ``doc_id`` cannot be named and stay. Of rows that repeat the ``doc_id`` one
     stays. All columns stay as they are.
     """
-    return keep_first(docs, groups(docs, width=width, seed=seed, radius=radius))
+    return keep_first(docs, groups(docs, width=width, seed=seed, radius=radius).where("doc_id = component_id").select("component_id"))
 
 
-def keep_first(docs: DataFrame, grouped: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that name a group of ``grouped(doc_id, component_id)``, each ``doc_id`` once, and those without a ``doc_id``."""
+def keep_first(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``doc_id`` is in ``named(component_id)``, and those without one. Of rows that repeat a ``doc_id`` the first in the order of all columns stays."""
     kept, number = temporary(docs, "kept_id"), temporary(docs, "kept_number")
-    keep = grouped.where("doc_id = component_id").select(F.col("doc_id").alias(kept)).distinct()
-    named = docs.where("doc_id is not null").join(keep, F.col("doc_id") == F.col(kept), "left_semi")
-    window = Window.partitionBy("doc_id").orderBy("doc_id")
-    named = named.withColumn(number, F.row_number().over(window)).where(F.col(number) == 1).drop(number)
-    return named.unionByName(docs.where("doc_id is null"))
+    keep = named.select(F.col("component_id").alias(kept)).where(F.col(kept).isNotNull()).distinct()
+    rows = docs.where("doc_id is not null").join(keep, F.col("doc_id") == F.col(kept), "left_semi")
+    plain = [f.name for f in docs.schema if isinstance(f.dataType, T.AtomicType) and f.name != "doc_id"]
+    window = Window.partitionBy("doc_id").orderBy("doc_id", *[docs[f"`{c}`"] for c in plain])
+    rows = rows.withColumn(number, F.row_number().over(window)).where(F.col(number) == 1).drop(number)
+    return rows.unionByName(docs.where("doc_id is null"))
 
 
 def digest(grouped: DataFrame) -> DataFrame:

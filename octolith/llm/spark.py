@@ -6,13 +6,16 @@ import tempfile
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; only where none is named (a local test), a new one."""
+    """The cluster's checkpoint folder; only in local mode, where none is named, a new one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="octolith-"))
     return context.getCheckpointDir()
 
@@ -38,3 +41,19 @@ def temporary(df: DataFrame, base: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, spread: str, *, limit: int = 100_000) -> DataFrame:
+    """Inner join on ``key``, of which ``right`` has each value once.
+
+    Keys with over ``limit`` rows of ``left`` are dealt over several tasks by the hash of the column
+    ``spread``, and their rows of ``right`` copied to each. There are at most rows / limit such keys,
+    so the table of them can be broadcast.
+    """
+    hot = cut(left.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > limit).select(F.col(key).alias("__key"), F.ceil(F.col("__n") / limit).cast("int").alias("__parts")))
+    if hot.isEmpty():
+        return left.join(right, key)
+    mark = lambda df: df.join(F.broadcast(hot), df[key].eqNullSafe(F.col("__key")), "left").withColumn("__parts", F.coalesce("__parts", F.lit(1)))
+    dealt = mark(left).withColumn("__part", F.pmod(F.xxhash64(spread), F.col("__parts")).cast("int")).drop("__key", "__parts")
+    copied = mark(right).withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__key", "__parts")
+    return dealt.join(copied, [key, "__part"]).drop("__part")
