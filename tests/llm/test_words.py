@@ -149,6 +149,23 @@ def test_decontamination_equals_brute_force(spark, shard_words):
     assert all(i in clean or w[0] == w[1] for i, w in enumerate(want))
 
 
+def test_benchmark_in_blocks_and_parts(spark, monkeypatch):
+    r = random.Random(9)
+    phrase = lambda n: " ".join(f"w{r.randrange(9)}" for _ in range(n))
+    items = [(k, phrase(r.choice((2, 4, 12, 30)))) for k in range(40)] + [(90, phrase(12))] * 2
+    items += [(91, items[3][1]), (92, items[3][1])]
+    texts = [phrase(60) for _ in range(20)] + [t for _, t in items[:5]]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute_hits(texts, items)
+    for block, windows in ((100, 7), (1 << 20, 3)):
+        monkeypatch.setattr(decontam, "_BLOCK_BYTES", block)
+        sets = decontam._blocks(bench, 10)
+        assert (len(sets) > 1) == (block == 100)
+        monkeypatch.setattr(decontam, "_WINDOWS", windows)
+        got = {x.doc_id: x for x in decontam.scan(docs(spark, texts), bench).collect()}
+        assert [(got[i].n_words, got[i].n_hit, got[i].item_ids) for i in range(len(texts))] == want
+
+
 def test_decontamination_of_nothing(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.scan(docs(spark, ["a b"]), none).first().n_hit == 0
@@ -190,6 +207,16 @@ def test_checksums_and_context(spark):
     assert got == {0: ["iban"], 1: [], 2: ["national_id"], 3: []}
 
 
+def test_account_numbers_end_where_their_country_says(spark):
+    code = "BE68539007547034"
+    spaced = "BE68 5390 0754 7034"
+    texts = [f"{spaced} BANK", f"{code} ING", f"{code} now", f"x{code}", f"{code}1", f"order {spaced}", f"bank order {spaced}", f"pay {code}, {spaced}.", "XX68539007547034"]
+    got = {x.doc_id: [texts[x.doc_id][s.start : s.end] for s in x.spans if s.kind == "iban"] for x in pii.find(docs(spark, texts)).collect()}
+    assert got == {0: [spaced], 1: [code], 2: [code], 3: [], 4: [], 5: [], 6: [spaced], 7: [code, spaced], 8: []}
+    row = {x.doc_id: x for x in pii.digest(pii.find(docs(spark, ["card 4111111111111111", "order 4111111111111111"]))).collect()}
+    assert (row[0].scores, row[1].scores) == ("0.95", "0.45") and row[0].n_card == row[1].n_card == 1
+
+
 def test_redaction_leaves_nothing(spark):
     df = docs(spark, PERSONAL)
     out = pii.redact(df)
@@ -281,6 +308,35 @@ def test_groups_equal_brute_force(spark):
     assert len(kept.columns) == 8
 
 
+@pytest.mark.parametrize("few", [0, 16_384])
+def test_components(spark, monkeypatch, few):
+    from octolith.llm import components
+
+    monkeypatch.setattr(components, "FEW", few)
+    r = random.Random(3)
+    number = r.sample(range(1 << 40), 300)
+    edges = [(number[i], number[i + 1]) for i in range(120)] + [(number[200], number[k]) for k in range(201, 240)] + [(number[250], number[250]), (number[0], number[1])]
+    group = list(range(300))
+    at = {v: i for i, v in enumerate(number)}
+    for a, b in edges:
+        old, new = group[at[a]], group[at[b]]
+        group = [new if g == old else g for g in group]
+    got = {x.v: x.root for x in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    touched = {v for e in edges if e[0] != e[1] for v in e}
+    assert got.keys() == touched
+    assert all((got[v] == got[w]) == (group[at[v]] == group[at[w]]) for v in touched for w in touched)
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_hot_keys_are_dealt_out(spark):
+    from octolith.llm.spark import spread_join
+
+    left = spark.createDataFrame([(k % 3 if k > 50 else 7, k) for k in range(100)] + [(None, 1)], "key long, n long")
+    right = spark.createDataFrame([(k, f"v{k}") for k in range(8)], "key long, name string")
+    got = sorted(map(tuple, spread_join(left, right, "key", "n", limit=5).select("key", "n", "name").collect()))
+    assert got == sorted(map(tuple, left.join(right, "key").select("key", "n", "name").collect()))
+
+
 def test_nulls_repeats_and_no_rows(spark):
     df = docs(spark, ["a b c", "a b c", "a b c"], [5, 5, None])
     got = sorted((str(x.doc_id), x.component_id) for x in simhash.groups(df).collect())
