@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,20 @@ FEATURES = ("any", "weight", "strongest", "kinds", "share", "fuzzy", "addressed"
 SCHEMA = "doc_id long, score double, predicted int, n_hits long, n_quoted long"
 
 
+def words(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of UTF-8 text. Signs beyond ASCII are no letters: those of U+00A0-U+00BF (but for the ordinals and the micro sign), U+2000-U+206F and U+3000-U+303F."""
+    clean = np.concatenate([buffer, np.zeros(2, np.uint8)])
+    a, b, c = clean[:-2], clean[1:-1], clean[2:]
+    two = (a == 0xC2) & (b != 0xAA) & (b != 0xB5) & (b != 0xBA)
+    three = (a == 0xE2) & ((b == 0x80) | (b == 0x81) & (c < 0xB0)) | (a == 0xE3) & (b == 0x80)
+    if two.any() or three.any():
+        for mask, n in ((two, 2), (three, 3)):
+            at = np.flatnonzero(mask)
+            for k in range(n):
+                clean[at + k] = 0x20
+    return textbytes.words(clean[: len(buffer)], WORD)
+
+
 def allowed_edits(length: int) -> int:
     """Edits that a term of so many letters may be off: none below 4, one up to 8, two beyond."""
     return 0 if length < 4 else 1 if length <= 8 else 2
@@ -90,6 +105,18 @@ class Matcher:
         return hits, value[hits]
 
 
+_MATCHERS: dict[int, Matcher] = {}
+
+
+def matcher(lexicon: Lexicon) -> Matcher:
+    """The worker's matcher of these terms; what it has worked out serves all its tasks. One is kept."""
+    key = xxhash.xxh64_intdigest("\n".join(lexicon.terms))
+    if key not in _MATCHERS:
+        _MATCHERS.clear()
+        _MATCHERS[key] = Matcher(lexicon)
+    return _MATCHERS[key]
+
+
 def context(before: str, after: str) -> tuple[float, bool]:
     """A factor for a hit between these texts, and whether somebody is addressed.
 
@@ -139,7 +166,7 @@ def features(lexicon: Lexicon, n_words: int, hits: list[tuple[int, float, bool]]
 def _scan(batch: pa.RecordBatch, matcher: Matcher, reach: int = 80) -> Iterator[tuple[int, list[tuple[int, float, bool]]]]:
     """For each row: its number of words, and its hits with their context."""
     buffer, row_at = textbytes.joined(batch.column("text"))
-    starts, ends = textbytes.words(buffer, WORD)
+    starts, ends = words(buffer)
     first = np.searchsorted(starts, row_at)
     hits, values = matcher.batch(buffer, starts, ends)
     by_row = np.searchsorted(hits, first)
@@ -195,9 +222,9 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for t, y in zip(batch.column("text"), batch.column("toxic").to_pylist()):
             raw = np.frombuffer(t.as_py().encode(), dtype=np.uint8)
-            starts, ends = textbytes.words(raw, WORD)
+            starts, ends = words(raw)
             text = raw.tobytes()
-            counts[y].update({text[a:b].decode().lower().strip(_MARKS) for a, b in zip(starts.tolist(), ends.tolist()) if b - a <= 40} - {""})
+            counts[y].update({text[a:b].decode().lower().strip(_MARKS) for a, b in zip(starts.tolist(), ends.tolist())} - {""})
         if sum(map(len, counts.values())) > 500_000:
             yield flush()
     yield flush()
@@ -232,10 +259,10 @@ def train(docs: DataFrame, labels: DataFrame, *, held_out_of: int = 5, most_labe
     lexicon = Lexicon([r["word"] for r in rows], [float(r["odds"]) for r in rows], [1.0] * len(rows))
 
     def hits(batches):
-        matcher = Matcher(lexicon)
+        look = matcher(lexicon)
         for whole in batches:
-            for batch in textbytes.slices(whole, "text"):
-                got = list(_scan(batch, matcher))
+            for batch in textbytes.slices(whole, "text", 2 << 20):
+                got = list(_scan(batch, look))
                 yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([x[0] for x in got], pa.int64()), pa.array([[v for v, _, _ in x[1]] for x in got], pa.list_(pa.int64())), pa.array([[f for _, f, _ in x[1]] for x in got], pa.list_(pa.float64())), pa.array([[t for _, _, t in x[1]] for x in got], pa.list_(pa.bool_()))], ["toxic", "n_words", "value", "factor", "talk"])
 
     scanned = [(r["toxic"], r["n_words"], list(zip(r["value"], r["factor"], r["talk"]))) for r in sample.select("text", "toxic").mapInArrow(hits, "toxic int, n_words long, value array<long>, factor array<double>, talk array<boolean>").where("size(value) > 0").collect()]
@@ -262,10 +289,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
 
     def run(batches):
-        matcher = Matcher(model.lexicon)
+        look = matcher(model.lexicon)
         for whole in batches:
-            for batch in textbytes.slices(whole, "text"):
-                got = list(_scan(batch, matcher))
+            for batch in textbytes.slices(whole, "text", 2 << 20):
+                got = list(_scan(batch, look))
                 p = model.score([features(model.lexicon, n, found) for n, found in got])
                 quoted = [sum(f < 0.35 for _, f, _ in found) for _, found in got]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array([len(x[1]) for x in got], pa.int64()), pa.array(quoted, pa.int64())], ["doc_id", "score", "predicted", "n_hits", "n_quoted"])
@@ -277,10 +304,10 @@ def reject(docs: DataFrame, model: Model, *, least: float = 0.5) -> DataFrame:
     """``docs`` without the rows whose text scores at least ``least``; all columns stay as they are. Rows with null or empty text stay."""
 
     def run(batches):
-        matcher = Matcher(model.lexicon)
+        look = matcher(model.lexicon)
         for whole in batches:
-            for batch in textbytes.slices(whole, "text"):
-                p = model.score([features(model.lexicon, n, found) for n, found in _scan(batch, matcher)])
+            for batch in textbytes.slices(whole, "text", 2 << 20):
+                p = model.score([features(model.lexicon, n, found) for n, found in _scan(batch, look)])
                 empty = np.array([not t.as_py() for t in batch.column("text")])
                 yield batch.filter(pa.array((p < least) | empty))
 
