@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from octolith.llm import textbytes
+from octolith.llm.spark import cut
 
 _HASHED = 128
 _COUNTED = 22
+_META = 96
+#: Numbers of the text view and of the metadata view.
+WIDTHS = (_COUNTED + _HASHED, _META)
 SCHEMA = "doc_id long, text_score double, meta_score double, score double, predicted int"
 
 _KIND = np.zeros((256, 6), dtype=np.int32)  # upper, lower, digit, mark, bar-like, high byte
@@ -78,7 +82,7 @@ def text_view(column: pa.Array) -> np.ndarray:
 
 def meta_view(batch: pa.RecordBatch, columns: list[str]) -> np.ndarray:
     """Features of metadata, never of the text: hashed values of the columns, and magnitudes of numbers."""
-    out = np.zeros((batch.num_rows, 96), dtype=np.float32)
+    out = np.zeros((batch.num_rows, _META), dtype=np.float32)
     for c, name in enumerate(columns):
         for r, v in enumerate(batch.column(name).to_pylist()):
             if isinstance(v, (int, float)) and not isinstance(v, bool):
@@ -113,34 +117,73 @@ def margin(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return x.astype(np.float64) @ w[:-1] + w[-1]
 
 
-def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], *, rounds: int = 5, share: float = 0.04, trust: float = 0.5, sure: float = 0.9) -> tuple[np.ndarray, np.ndarray]:
-    """The two classifiers after exchanging pseudo-labels.
+@dataclass
+class Taught:
+    """Rows of the pool that a view labels for the other one: ``kind`` is 2 * view + label; ids and the features of both views."""
+
+    kind: np.ndarray
+    ids: list[int]
+    views: tuple[np.ndarray, np.ndarray]
+
+
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def least_sure(good: float, sure: float, lift: float) -> tuple[float, float]:
+    """The probability from which on a view may label a row 0 or 1: at least ``sure``, and odds of ``lift`` times those of the class itself, as a view that only knows how frequent a class is has nothing to teach."""
+    out = []
+    for part in (1 - good, good):
+        odds = lift * part / max(1 - part, 1e-9)
+        out.append(max(sure, odds / (1 + odds)))
+    return out[0], out[1]
+
+
+def surest(models: list[np.ndarray], views: tuple[np.ndarray, np.ndarray], ids: np.ndarray, given: list[dict[int, int]], least: tuple[float, float], most: tuple[int, int]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """For each kind the places of the rows that a view is surest of and hasn't given yet, and how sure it is; ``most`` of each label, ties by id."""
+    out = []
+    for view in (0, 1):
+        p = sigmoid(margin(views[view], models[view]))
+        free = ~np.isin(ids, np.fromiter(given[1 - view], np.int64, len(given[1 - view])))
+        for label in (0, 1):
+            likely = p if label else 1 - p
+            at = np.flatnonzero(free & (likely >= least[label]))
+            at = at[np.lexsort((ids[at], -likely[at]))][: most[label]]
+            out.append((2 * view + label, at, likely[at]))
+    return out
+
 
-    In each round either view labels, out of the pool, the rows of each class that it is surest of
-    (``share`` of the pool, split as the labels are, and only at a probability of at least
-    ``sure``). They join the other view's training rows with weight ``trust`` and leave the pool
-    of that view.
+def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool, *, rounds: int = 5, most_taught: int = 400, trust: float = 0.5, sure: float = 0.9, lift: float = 3.0) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+    """The two classifiers after exchanging pseudo-labels, and how many rows of each kind were given in each round.
+
+    In each round either view labels, out of the whole pool, the rows of each class that it is
+    surest of (``most_taught`` of them, split as the labels are; see :func:`least_sure`). They join
+    the other view's training rows with weight ``trust``, once each. ``pool(models, given, least,
+    most)`` returns them as :class:`Taught`.
     """
     given: list[dict[int, int]] = [{}, {}]
-    good = y.mean() if len(y) else 0.5
-    models = [fit(v, y) for v in views]
+    taught: list[list[tuple[np.ndarray, int]]] = [[], []]
+    good = float(y.mean()) if len(y) else 0.5
+    least, most = least_sure(good, sure, lift), (max(1, round(most_taught * (1 - good))), max(1, round(most_taught * good)))
+    models, counts = [fit(v, y) for v in views], []
     for _ in range(rounds):
-        if not len(pool[0]):
+        found = pool(models, given, least, most)
+        new = [0, 0, 0, 0]
+        for k, i, *rows in zip(found.kind.tolist(), found.ids, *found.views):
+            other = 1 - k // 2
+            if i not in given[other]:
+                given[other][i] = k % 2
+                taught[other].append((rows[other], k % 2))
+                new[k] += 1
+        counts.append(new)
+        if not any(new):
             break
-        p = [1 / (1 + np.exp(-np.clip(margin(x, w), -30, 30))) for x, w in zip(pool, models)]
-        for view in (0, 1):
-            other = 1 - view
-            for label, part in ((1, good), (0, 1 - good)):
-                likely = p[view] if label else 1 - p[view]
-                n = max(1, int(share * len(likely) * part))
-                free = [i for i in np.argsort(-likely, kind="stable")[: n + len(given[other])].tolist() if i not in given[other] and likely[i] >= sure]
-                given[other].update(dict.fromkeys(free[:n], label))
         for view in (0, 1):
-            rows = np.array(list(given[view]), dtype=int)
-            x = np.concatenate([views[view], pool[view][rows]]) if len(rows) else views[view]
-            labels = np.concatenate([y, np.array(list(given[view].values()), float)])
-            models[view] = fit(x, labels, np.concatenate([np.ones(len(y)), np.full(len(rows), trust)]))
-    return models[0], models[1]
+            if taught[view]:
+                x = np.concatenate([views[view], np.stack([r for r, _ in taught[view]])])
+                labels = np.concatenate([y, np.array([label for _, label in taught[view]], float)])
+                models[view] = fit(x, labels, np.concatenate([np.ones(len(y)), np.full(len(taught[view]), trust)]))
+    return models[0], models[1], counts
 
 
 @dataclass
@@ -149,11 +192,12 @@ class Model:
     calibration: tuple[np.ndarray, np.ndarray]
     combined: np.ndarray
     columns: list[str]
+    #: For each round the rows given: by the text view as 0 and as 1, by the metadata view as 0 and as 1.
+    exchanged: list[list[int]] = field(default_factory=list)
 
     def scores(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         raw = [margin(x, w) for x, w in zip((text, meta), self.views)]
         calibrated = np.stack([margin(m[:, None], c) for m, c in zip(raw, self.calibration)], axis=1)
-        sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         return sigmoid(calibrated[:, 0]), sigmoid(calibrated[:, 1]), sigmoid(margin(calibrated, self.combined))
 
 
@@ -163,49 +207,73 @@ def _both(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tup
             yield batch, text_view(batch.column("text")), meta_view(batch, columns)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, columns: tuple[str, ...] = ("lang", "source", "n_chars"), held_out_of: int = 5, most_labelled: int = 10_000, most_pool: int = 10_000, rounds: int = 5) -> Model:
+def _numbers(rows: list[bytes], n: int) -> np.ndarray:
+    return np.frombuffer(b"".join(map(bytes, rows)), np.float32).reshape(-1, n)
+
+
+def _pool(rows: DataFrame):
+    """The pool of :func:`co_train` over a table of features: every task takes its surest rows of each kind, and the surest of these are taken."""
+
+    def ask(models, given, least, most) -> Taught:
+        def run(batches):
+            held: dict[int, list[tuple[float, int, bytes, bytes]]] = {k: [] for k in range(4)}
+            for batch in batches:
+                ids, raw = np.asarray(batch.column("id")), [batch.column(c) for c in ("text", "meta")]
+                views = tuple(_numbers(c.to_pylist(), n) for c, n in zip(raw, WIDTHS))
+                for kind, at, likely in surest(models, views, ids, given, least, most):
+                    held[kind] += [(-p, int(ids[i]), raw[0][i].as_py(), raw[1][i].as_py()) for i, p in zip(at.tolist(), likely.tolist())]
+                    held[kind] = sorted(held[kind], key=lambda r: r[:2])[: most[kind % 2]]
+            out = [(kind, *r) for kind in held for r in held[kind]]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.float64(), pa.int64(), pa.binary(), pa.binary()))], ["kind", "far", "id", "text", "meta"])
+
+        every = rows.mapInArrow(run, "kind int, far double, id long, text binary, meta binary")
+        place = F.row_number().over(Window.partitionBy("kind").orderBy("far", "id"))
+        best = every.withColumn("place", place).where(F.col("place") <= F.when(F.col("kind") % 2 == 0, most[0]).otherwise(most[1])).orderBy("kind", "place").collect()
+        return Taught(np.array([r["kind"] for r in best], int), [r["id"] for r in best], tuple(_numbers([r[c] for r in best], n) for c, n in zip(("text", "meta"), WIDTHS)))
+
+    return ask
+
+
+def train(docs: DataFrame, labels: DataFrame, *, columns: tuple[str, ...] = ("lang", "source", "n_chars"), held_out_of: int = 5, most_labelled: int = 10_000, most_taught: int = 400, rounds: int = 5) -> Model:
     """Learns from rows of ``labels(doc_id, quality)`` whose crc32 of the id is not 0 modulo ``held_out_of``.
 
-    About ``most_labelled`` labelled documents, and as the method has it a pool of about
-    ``most_pool`` unlabelled ones, are used, both chosen by a hash of the id; this bounds what the
-    driver fits. A fifth of the labelled rows calibrates the views and their combination. Labels
-    other than 0 and 1, null ids and ids with labels that differ are left out; held-out rows are
-    not in the pool.
+    About ``most_labelled`` labelled documents, chosen by a hash of the id, and ``most_taught``
+    pseudo-labelled ones a round and view are used; this bounds what the driver fits. The pool is
+    every unlabelled document: their features are kept in the shared folder and scored anew in each
+    round. A fifth of the labelled rows calibrates the views and their combination. Labels other
+    than 0 and 1, null ids and ids with labels that differ are left out; held-out rows are not in
+    the pool. Without labels every score is 0.5, without a pool nothing is exchanged.
     """
     columns_ = [c for c in columns if c in docs.columns]
-    number = F.pmod(F.xxhash64("id"), F.lit(1 << 20))
-    known = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").cast("int").alias("y"), F.max("quality").cast("int").alias("most"))
-    known = known.where("y = most").select("id", "y").where(F.crc32(F.col("id").cast("string")) % held_out_of != 0)
-    total, every = known.count(), docs.count()
-    if total > most_labelled:
-        known = known.where(number < int((1 << 20) * most_labelled / total))
-    ids = labels.select(F.col("doc_id").cast("long").alias("id")).distinct()
-    base = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), *columns_)
-    labelled = base.join(F.broadcast(known), "id")  # at most about most_labelled rows of 12 bytes
-    pool = base.where("id is not null").where(number < int((1 << 20) * min(1.0, 2 * most_pool / max(every, 1)))).where(F.crc32(F.col("id").cast("string")) % held_out_of != 0)
-    pool = pool.join(ids, "id", "left_anti").withColumn("y", F.lit(-1))
-    order = ["id", "text", *columns_, "y"]
+    held_out = F.crc32(F.col("id").cast("string")) % held_out_of == 0
+    named = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").cast("int").alias("y"), F.max("quality").cast("int").alias("most")).where(~held_out)
+    named = cut(named.select("id", F.when(F.col("y").isin(0, 1) & (F.col("y") == F.col("most")), F.col("y")).otherwise(-2).alias("y")))
+    n = {r["known"]: r["n"] for r in named.groupBy((F.col("y") >= 0).alias("known")).agg(F.count("*").alias("n")).collect()}
+    if n.get(True, 0) > most_labelled:
+        kept = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int((1 << 20) * most_labelled / n[True])
+        named = named.withColumn("y", F.when((F.col("y") < 0) | kept, F.col("y")).otherwise(-2))
+    if sum(n.values()) <= 1_000_000:
+        named = F.broadcast(named)
+    base = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), *columns_).where(F.col("id").isNotNull()).where(~held_out)
 
     def features(batches):
         for batch, text, meta in _both(batches, columns_):
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array([r.tobytes() for r in text], pa.binary()), pa.array([r.tobytes() for r in meta], pa.binary())], ["id", "y", "text", "meta"])
-
-    rows = labelled.select(*order).unionByName(pool.select(*order)).mapInArrow(features, "id long, y int, text binary, meta binary").collect()
-    rows.sort(key=lambda r: (r["id"], r["y"], bytes(r["text"])))
-    matrix = lambda name, part, n: np.frombuffer(b"".join(bytes(r[name]) for r in part), np.float32).reshape(-1, n)
-    wide = (_COUNTED + _HASHED, 96)
-    some = [r for r in rows if r["y"] >= 0]
-    rest = [r for r in rows if r["y"] < 0]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([r.tobytes() for r in text], pa.binary()), pa.array([r.tobytes() for r in meta], pa.binary())], ["id", "text", "meta"])
+
+    rows = base.mapInArrow(features, "id long, text binary, meta binary").join(named, "id", "left").withColumn("y", F.coalesce("y", F.lit(-1)))
+    rows = cut(rows.where("y >= -1"))
+    some = sorted(rows.where("y >= 0").collect(), key=lambda r: (r["id"], r["y"], bytes(r["text"])))
     check = np.arange(len(some)) % 5 == 0
     y = np.array([r["y"] for r in some], float)
-    views = tuple(matrix(n, some, k) for n, k in zip(("text", "meta"), wide))
+    views = tuple(_numbers([r[c] for r in some], k) for c, k in zip(("text", "meta"), WIDTHS))
     if not len(y):
-        return Model(tuple(np.zeros(k + 1) for k in wide), (np.array([1.0, 0]),) * 2, np.array([0.5, 0.5, 0.0]), columns_)
-    models = co_train(tuple(v[~check] for v in views), y[~check], tuple(matrix(n, rest, k) for n, k in zip(("text", "meta"), wide)), rounds=rounds)
+        return Model(tuple(np.zeros(k + 1) for k in WIDTHS), (np.array([1.0, 0]),) * 2, np.array([0.5, 0.5, 0.0]), columns_)
+    *models, exchanged = co_train(tuple(v[~check] for v in views), y[~check], _pool(rows.where("y = -1").select("id", "text", "meta")), rounds=rounds, most_taught=most_taught)
     raw = [margin(v[check], w) for v, w in zip(views, models)]
     calibration = tuple(fit(m[:, None], y[check], ridge=0.01) for m in raw)
     joint = np.stack([margin(m[:, None], c) for m, c in zip(raw, calibration)], axis=1)
-    return Model(models, calibration, fit(joint, y[check], ridge=0.1), columns_)
+    return Model(tuple(models), calibration, fit(joint, y[check], ridge=0.1), columns_, exchanged)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
