@@ -14,24 +14,43 @@ from octolith.llm.spark import cut
 _CODES = 256
 
 
+_BLOCK = 1 << 21
+
+
 def _squared(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1), 0)
 
 
+def _blocks(x: np.ndarray, centres: np.ndarray):
+    """Runs of rows whose distances to all centres are about ``_BLOCK`` numbers, so that no table of distances grows with the rows."""
+    step = max(1, _BLOCK // max(1, len(centres)))
+    for at in range(0, len(x), step):
+        yield slice(at, at + step)
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each row, and its squared distance."""
+    own, far = np.zeros(len(x), np.int64), np.zeros(len(x))
+    for rows in _blocks(x, centres):
+        d = _squared(x[rows], centres)
+        own[rows] = d.argmin(1)
+        far[rows] = d[np.arange(len(d)), own[rows]]
+    return own, far
+
+
 def kmeans(x: np.ndarray, k: int, rounds: int = 10, seed: int = 7) -> np.ndarray:
     """Lloyd's algorithm from random members; an empty cluster moves to the member that is farthest from its centre."""
     k = min(k, len(x))
     centres = x[np.random.default_rng(seed).choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
-        d = _squared(x, centres)
-        own = d.argmin(1)
+        own, d = _nearest(x, centres)
         size = np.bincount(own, minlength=k)
         sums = np.zeros_like(centres)
         np.add.at(sums, own, x)
         full = size > 0
         centres[full] = sums[full] / size[full, None]
         if not full.all():
-            far = np.argsort(-d[np.arange(len(x)), own])[: int((~full).sum())]
+            far = np.argsort(-d)[: int((~full).sum())]
             centres[~full] = x[far]
     return centres
 
@@ -51,11 +70,11 @@ class Model:
         return self.coarse.shape[1]
 
     def lists(self, x: np.ndarray) -> np.ndarray:
-        return _squared(x, self.coarse).argmin(1)
+        return _nearest(x, self.coarse)[0]
 
     def encode(self, x: np.ndarray, own: np.ndarray) -> np.ndarray:
         rest = x - self.coarse[own]
-        parts = [_squared(rest[:, a:b], book).argmin(1) for a, b, book in zip(self.cuts, self.cuts[1:], self.books)]
+        parts = [_nearest(rest[:, a:b], book)[0] for a, b, book in zip(self.cuts, self.cuts[1:], self.books)]
         return np.stack(parts, axis=1).astype(np.uint8)
 
     def tables(self, rest: np.ndarray) -> np.ndarray:
@@ -69,13 +88,13 @@ class Model:
 def fit(sample: np.ndarray, n_rows: int, k: int, *, groups: int = 16, target: float = 0.98, n_tests: int = 200, seed: int = 7) -> Model:
     """Fits centroids and codebooks, then chooses probes and shortlist by brute force within the sample.
 
-    There are about ``sqrt(n_rows)`` lists, 4096 at most. ``probes`` is the least number of lists,
+    There are about ``sqrt(n_rows)`` lists, but at most one for two rows of the sample. ``probes`` is the least number of lists,
     and ``shortlist`` the least number of reranked rows of a list, that find a share of ``target``
     of the true neighbours of ``n_tests`` members.
     """
-    coarse = kmeans(sample, int(min(4096, max(1, round(n_rows**0.5)), max(1, len(sample) // 8))), seed=seed)
+    coarse = kmeans(sample, max(1, min(round(n_rows**0.5), len(sample) // 2)), seed=seed)
     cuts = np.linspace(0, sample.shape[1], min(groups, sample.shape[1]) + 1).astype(int).tolist()
-    own = _squared(sample, coarse).argmin(1)
+    own = _nearest(sample, coarse)[0]
     rest = sample - coarse[own]
     books = [kmeans(rest[:, a:b], _CODES, rounds=6, seed=seed) for a, b in zip(cuts, cuts[1:])]
     model = Model(coarse, books, cuts, len(coarse), 1)
@@ -140,8 +159,8 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 10, most_sample:
     """The ``k`` nearest of ``vectors(vec_id, embedding)`` to each row of ``queries`` (same columns), itself (by id) left out.
 
     Returns ``query_id, rank, vec_id, score``: rank from 1, score the exact Euclidean distance in
-    double precision; ties go to the smaller id. The index is fitted on at most about
-    ``most_sample`` rows, chosen by a hash of their ids, and holds every usable row. Equal vectors
+    double precision; ties go to the smaller id. The index is fitted on about ``most_sample`` rows,
+    or eight for each of its ``sqrt(rows)`` lists if that is more, chosen by a hash, and holds every usable row. Equal vectors
     are one entry with their k + 1 smallest ids, which is all a result can hold. Lists of over
     ``chunk_rows`` entries are cut into chunks.
 
@@ -159,10 +178,11 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 10, most_sample:
     first = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     entries = cut(rows.withColumn("n", first).where(F.col("n") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
     total = entries.count()
+    most_sample = max(most_sample, 8 * round(total**0.5))
     kept = entries.select("v") if total <= most_sample else entries.where(F.pmod(F.xxhash64("v"), F.lit(1 << 20)) < int((1 << 20) * most_sample / total)).select("v")
-    sample = np.array([r["v"] for r in kept.collect()], dtype=np.float64).reshape(-1, dims)
+    sample = _matrix(kept.toArrow().column("v"), dims)
     if not len(sample):
-        sample = np.array([r["v"] for r in entries.select("v").limit(most_sample).collect()], dtype=np.float64)
+        sample = _matrix(entries.select("v").limit(most_sample).toArrow().column("v"), dims)
     model = fit(sample, total, k, groups=groups)
 
     def place(batches):
@@ -173,7 +193,7 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 10, most_sample:
             yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), batch.column("v"), batch.column("ids"), pa.array([c.tobytes() for c in codes], pa.binary())], ["list", "v", "ids", "codes"])
 
     index = cut(entries.mapInArrow(place, "list int, v array<double>, ids array<long>, codes binary"))
-    sizes = np.zeros((len(model.coarse), 2), dtype=np.int64)  # a row for each list: at most 4096
+    sizes = np.zeros((len(model.coarse), 2), dtype=np.int64)  # a row for each list
     for r in index.groupBy("list").agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("ids")).collect():
         sizes[r["list"]] = r["n"], r["ids"]
     chunks = np.maximum(1, -(-sizes[:, 0] // chunk_rows))
@@ -186,17 +206,17 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 10, most_sample:
 
     def probe(batches):
         for batch in batches:
-            x = _matrix(batch.column("v"), dims)
-            order = np.argsort(_squared(x, model.coarse), axis=1, kind="stable")
-            there = np.cumsum(sizes[order, 1], axis=1)
-            enough = np.maximum(model.probes, (there < k + 1).sum(1) + 1)
-            at, lists, parts = [], [], []
-            for i, n in enumerate(enough.tolist()):
-                for c in order[i, :n].tolist():
-                    if sizes[c, 0]:
-                        at += [i] * int(chunks[c])
-                        lists += [c] * int(chunks[c])
-                        parts += range(int(chunks[c]))
+            x, at, lists, parts = _matrix(batch.column("v"), dims), [], [], []
+            for rows in _blocks(x, model.coarse):
+                order = np.argsort(_squared(x[rows], model.coarse), axis=1, kind="stable")
+                there = np.cumsum(sizes[order, 1], axis=1)
+                enough = np.maximum(model.probes, (there < k + 1).sum(1) + 1)
+                for i, n in enumerate(enough.tolist()):
+                    for c in order[i, :n].tolist():
+                        if sizes[c, 0]:
+                            at += [rows.start + i] * int(chunks[c])
+                            lists += [c] * int(chunks[c])
+                            parts += range(int(chunks[c]))
             picked = batch.take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([picked.column("q"), picked.column("v"), pa.array(lists, pa.int32()), pa.array(parts, pa.int32())], ["q", "v", "list", "chunk"])
 
