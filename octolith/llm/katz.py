@@ -25,6 +25,7 @@ _END = np.uint64(0x5DEECE66D1CE4E5B)
 _START_ID = 0
 _HOT_SHARE = 400  # a word is dealt over many buckets if it is over one in so many tokens
 _SALTS = 256
+_SHARD_BYTES = 32 << 20
 _MESSAGE = "shard int, bucket int, kind int, body binary"
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -325,10 +326,16 @@ def score(docs: DataFrame, *, train_of: int = 7, held: int = 2, n_parts: int | N
 
     A null or empty text is its end alone. A row with a null id is trained on. Repeated rows count
     each time. An empty table gives no rows; other columns are ignored. ``n_parts`` shards and
-    buckets (by default the session's shuffle partitions) bound the memory of a task.
+    buckets bound the memory of a task; by default there are as many as the session has shuffle
+    partitions, or as hold 32 MB of text each if that is more. Words are told apart by 64-bit keys:
+    two different ones are taken for the same with a chance of about 2**-60.
     """
-    n, split = n_parts or partitions(docs.sparkSession), (train_of, held)
+    split = train_of, held
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    if n_parts is None:
+        size = chosen.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        n_parts = max(partitions(docs.sparkSession), -(-size // _SHARD_BYTES))
+    n = n_parts
     shards = chosen.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("shard"), "doc_id", "text")
     words = shards.groupBy("shard").applyInArrow(lambda t: _count_words(t, n, split), _MESSAGE)
     words = words.groupBy("bucket").applyInArrow(lambda t: _answer_words(t, n), _MESSAGE)
