@@ -13,12 +13,22 @@ _LOCAL = "A-Za-z0-9._%+-"
 _BLOCK = 128
 
 
+#: Lengths of account numbers by country, as registered.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBAN = r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2})(?:" + "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items()) + ")(?![A-Za-z0-9])"
+_DOUBT = r"(?i)\b(?:order|tracking|serial|part|invoice|ticket|version|sample|example|dummy|muster|ejemplo|exemple)\b"
+
+
 @dataclass(frozen=True)
 class Kind:
     """``pattern`` is written so that a scan is linear: runs are possessive, and a match starts where its run starts.
 
     ``score`` is what a confirmed span has without context; a context word within ``reach`` code
-    points adds ``bonus``. Spans of ``base`` kinds count whatever their score.
+    points adds ``bonus``, a word that speaks of other numbers takes ``malus`` off. Spans of
+    ``base`` kinds count whatever their score, which goes with them.
     """
 
     name: str
@@ -28,6 +38,7 @@ class Kind:
     score: float
     bonus: float
     base: bool = True
+    malus: float = 0.25
 
 
 KINDS = (
@@ -35,7 +46,7 @@ KINDS = (
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", r"(?i)\bip\b|host|server|address|login|adresse", 0.5, 0.3),
     Kind("card", r"[0-9](?:[ -]?[0-9])++", "", r"(?i)card|visa|master|credit|payment|karte|carte|tarjeta", 0.7, 0.25),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", "+", r"(?i)phone|call|tel|mobile|fax|anruf|llam", 0.6, 0.3),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}+(?: ?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])", "", r"(?i)iban|account|konto|compte|cuenta|bank", 0.7, 0.25, False),
+    Kind("iban", _IBAN, "", r"(?i)iban|account|konto|compte|cuenta|bank", 0.7, 0.25, False),
     Kind("national_id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", r"(?i)\bssn\b|social security|national id|identity|passport", 0.2, 0.5, False),
 )
 BASE = tuple(k.name for k in KINDS if k.base)
@@ -134,7 +145,8 @@ def _replaced(k: Kind, gaps: Column, reach: int, threshold: float):
 
 def _score(k: Kind, before: Column, after: Column) -> Column:
     near = before.rlike(k.context) | after.rlike(k.context)
-    return F.lit(k.score) + F.when(near, k.bonus).otherwise(0.0)
+    doubt = before.rlike(_DOUBT) | after.rlike(_DOUBT)
+    return F.round(F.lit(k.score) + F.when(near, k.bonus).otherwise(0.0) - F.when(doubt, k.malus).otherwise(0.0), 2)
 
 
 def find(docs: DataFrame, *, threshold: float = 0.5, reach: int = 48) -> DataFrame:
@@ -187,9 +199,9 @@ def redact(docs: DataFrame, *, threshold: float = 0.5, reach: int = 48) -> DataF
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Counts of the base kinds, a digest of their spans, and all spans as text."""
+    """Counts of the base kinds, a digest of their spans, all spans as text, and their scores in the same order."""
     text = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     kinds = F.transform("spans", lambda s: s["kind"])
     counts = [(F.size("spans") - F.size(F.array_remove(kinds, n))).cast("long").alias(f"n_{n}") for n in BASE]
-    return found.select("doc_id", *counts, F.sha2(F.array_join(F.transform(base, text), ","), 256).alias("base_sha256"), F.array_join(F.transform("spans", text), ",").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(F.array_join(F.transform(base, text), ","), 256).alias("base_sha256"), F.array_join(F.transform("spans", text), ",").alias("spans"), F.array_join(F.transform("spans", lambda s: s["score"].cast("string")), ",").alias("scores"))
