@@ -15,37 +15,49 @@ from octolith.llm import textbytes
 from octolith.llm.fmindex import FMIndex
 
 REPORT = "n_words long, n_hit long, item_ids array<string>, spans array<struct<start:long,end:long>>"
-_BLOCK_BYTES = 32 << 20
+_BLOCK_BYTES = 8 << 20
+#: Windows looked up at a time.
+_WINDOWS = 200_000
 
 
 @dataclass
 class Phrases:
-    """Distinct windows of one length, as rows of vocabulary ids (from 1), and the items of each."""
+    """Windows of one length: the words of the items one after the other, as vocabulary ids from 1, and where windows and items begin."""
 
+    length: int
     vocabulary: np.ndarray
-    windows: np.ndarray
-    owner_at: np.ndarray
-    owners: list[str]
+    words: np.ndarray
+    starts: np.ndarray
+    item_at: np.ndarray
+    names: list[str]
+
+    def owners(self, windows: np.ndarray) -> list[str]:
+        return [self.names[k] for k in np.unique(np.searchsorted(self.item_at, self.starts[windows], side="right") - 1).tolist()]
+
+    def within(self, vocabulary_used: np.ndarray) -> np.ndarray:
+        """The windows all of whose words are used."""
+        upto = np.concatenate([[0], np.cumsum(vocabulary_used[self.words])])
+        return np.flatnonzero(upto[self.starts + self.length] - upto[self.starts] == self.length)
 
 
 def phrase_sets(items: list[tuple[str, str]], window: int) -> list[Phrases]:
-    """The windows of some items, a set for each length: ``window``, and the lengths of shorter items."""
+    """The windows of some items, a set for each length: ``window``, and the lengths of shorter items. Flat arrays of a few bytes a word."""
     by_length: dict[int, tuple[list[np.ndarray], list[str]]] = {}
     for name, text in items:
         buffer = np.frombuffer(text.encode(), dtype=np.uint8)
         keys = textbytes.keys(buffer, *textbytes.words(buffer, textbytes.ALNUM))
         if n := min(window, len(keys)):
             rows, names = by_length.setdefault(n, ([], []))
-            rows.append(np.lib.stride_tricks.sliding_window_view(keys, n))
-            names += [name] * (len(keys) - n + 1)
+            rows.append(keys)
+            names.append(name)
     out = []
-    for rows, names in by_length.values():
-        every = np.concatenate(rows)
-        vocabulary, ids = np.unique(every, return_inverse=True)
-        windows, which = np.unique(ids.reshape(every.shape) + 1, axis=0, return_inverse=True)
-        pairs = sorted(set(zip(which.reshape(-1).tolist(), names)))
-        owner_at = np.searchsorted([p[0] for p in pairs], np.arange(len(windows) + 1))
-        out.append(Phrases(vocabulary, windows, owner_at, [p[1] for p in pairs]))
+    for n, (rows, names) in by_length.items():
+        vocabulary, ids = np.unique(np.concatenate(rows), return_inverse=True)
+        sizes = np.array([len(r) for r in rows])
+        item_at = np.cumsum(sizes) - sizes
+        room = sizes - n + 1
+        starts = np.arange(int(room.sum())) - np.repeat(np.cumsum(room) - room, room) + np.repeat(item_at, room)
+        out.append(Phrases(n, vocabulary, (ids + 1).astype(np.int32), starts, item_at, names))
     return out
 
 
@@ -88,7 +100,7 @@ class Shard:
             at = np.searchsorted(phrases.vocabulary, keys)
             at[at == len(phrases.vocabulary)] = 0
             known = phrases.vocabulary[at] == keys
-            n = phrases.windows.shape[1]
+            n = phrases.length
             # a phrase can only lie within a run of words that occur in phrases
             start, length = _runs(known, row, n)
             if not len(start):
@@ -102,17 +114,25 @@ class Shard:
             text[target] = at[source] + 1
             word_of = np.full(len(text), -1, dtype=np.int64)
             word_of[target] = source
-            index = FMIndex(text, len(phrases.vocabulary) + 1)
-            low, high = index.search(phrases.windows)
-            counts = high - low
-            which = np.repeat(np.arange(len(counts)), counts)
-            rows_at = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(low, counts)
-            word = word_of[index.locate(rows_at)]
-            np.add.at(cover, word, 1)
-            np.add.at(cover, word + n, -1)
-            pairs = np.unique(np.stack([row[word], which], axis=1), axis=0) if len(word) else np.zeros((0, 2), int)
-            for r, w in pairs.tolist():
-                found.setdefault(r, set()).update(phrases.owners[phrases.owner_at[w] : phrases.owner_at[w + 1]])
+            used = np.zeros(len(phrases.vocabulary) + 1, dtype=bool)
+            used[text] = True
+            used[0] = False
+            index, possible = FMIndex(text, len(phrases.vocabulary) + 1), phrases.within(used)
+            for begin in range(0, len(possible), _WINDOWS):
+                part = possible[begin : begin + _WINDOWS]
+                windows, same = np.unique(phrases.words[phrases.starts[part][:, None] + np.arange(n)], axis=0, return_inverse=True)
+                low, high = index.search(windows)
+                counts = high - low
+                which = np.repeat(np.arange(len(counts)), counts)
+                rows_at = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(low, counts)
+                word = word_of[index.locate(rows_at)]
+                np.add.at(cover, word, 1)
+                np.add.at(cover, word + n, -1)
+                if len(word):
+                    by_window = np.argsort(same.reshape(-1), kind="stable")
+                    first = np.searchsorted(same.reshape(-1)[by_window], np.arange(len(windows) + 1))
+                    for r, w in np.unique(np.stack([row[word], which], axis=1), axis=0).tolist():
+                        found.setdefault(r, set()).update(phrases.owners(part[by_window[first[w] : first[w + 1]]]))
         return np.bincount(row, minlength=self.n_rows), np.cumsum(cover)[:-1] > 0, found
 
     def reports(self, sets: Iterator[Phrases]) -> Iterator[tuple[pa.RecordBatch, list[int], list[int], list[list[str]], list[list[tuple[int, int]]], list[list[tuple[int, int]]]]]:
@@ -162,7 +182,7 @@ def _shards(batches: Iterator[pa.RecordBatch], blocks: list, shard_words: int) -
 
 
 def _blocks(benchmark: DataFrame, window: int) -> list:
-    """The benchmark as broadcast blocks of at most about 32 MB of text each, however large it is; a worker opens one block at a time."""
+    """The benchmark as broadcast blocks of about 8 MB of text each, some 12 bytes a word. The driver holds the text of one block at a time; workers keep all blocks, about three times the benchmark's bytes."""
     spark = benchmark.sparkSession
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 32), F.lit(0))).first()[0]

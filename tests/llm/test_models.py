@@ -253,6 +253,47 @@ def test_toxicity(spark):
     assert toxicity.score(docs.where("doc_id < 0"), model).count() == 0
 
 
+def test_typographic_signs_are_no_letters(spark):
+    docs, labels = _toxic_tables(spark)
+    model = toxicity.train(docs, labels)
+    texts = ["“idiot”", "«idiot»", "—idiot—", "\u00a0idiot…", "¿idiot?", "naïve 日本語 ºª µ é", f"er sagte „idiot“ {'wort ' * 10}"]
+    rows = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    assert [rows[i].n_hits for i in range(7)] == [1, 1, 1, 1, 1, 0, 1] and rows[6].n_quoted == 1
+    for t in texts:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        got = [bytes(raw[a:b]).decode() for a, b in zip(*toxicity.words(raw))]
+        assert got == re.findall(r"[^\x00-\x20\"#%&'()+,\-./:;<=>?\[\\\]^_`{|}~\u00a0-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u00bf\u2000-\u206f\u3000-\u303f]+", t)
+
+
+def test_automaton_forgets_and_finds_the_same():
+    terms = ["idiot", "moron", "worthless"]
+    small, large = (lexicon.LexiconAutomaton(terms, toxicity.allowed_edits, n) for n in (3, 1000))
+    for w in ("idoit", "mornn", "wrothless", "x", "idiots", "moro") * 2:
+        assert small.closest(w) == large.closest(w)
+
+
+def test_toxicity_query_equals_a_plain_version(spark):
+    """Every row of the query: hits by distances to all terms, contexts from the text around them, the logistic formula in plain Python."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    got = {r.doc_id: r for r in toxicity.digest(toxicity.score(docs, model)).collect()}
+    lex, known = model.lexicon, {}
+    for row in docs.collect():
+        raw = (row.text or "").encode()
+        starts, ends = toxicity.words(np.frombuffer(raw, np.uint8))
+        hits = []
+        for a, b in zip(starts.tolist(), ends.tolist()):
+            w = raw[a:b].decode().lower().strip("*@$!")
+            if w not in known:
+                near = [(_distance(w, t), i) for i, t in enumerate(lex.terms) if abs(len(w) - len(t)) <= toxicity.allowed_edits(len(t)) and _distance(w, t) <= toxicity.allowed_edits(len(t))]
+                known[w] = min(near) if near else None
+            if known[w]:
+                hits.append((known[w][0] * len(lex.terms) + known[w][1], *toxicity.context(raw[max(0, a - 80) : a].decode(errors="ignore"), raw[b : b + 80].decode(errors="ignore"))))
+        z = sum(x * c for x, c in zip(toxicity.features(lex, len(starts), hits), model.coef)) + model.offset
+        r = got[row.doc_id]
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z))) and r.predicted == int(r.score >= 0.5) and r.n_hits == len(hits)
+
+
 # language model
 
 
@@ -382,15 +423,68 @@ def test_quality_views_agree_on_held_out_rows(spark):
     assert cotrain.score(odd.where("doc_id > 9"), model).count() == 0
 
 
+def _pool_in_memory(views, ids):
+    def ask(models, given, least, most):
+        found = cotrain.surest(models, views, ids, given, least, most)
+        at = np.concatenate([a for _, a, _ in found])
+        return cotrain.Taught(np.repeat([k for k, _, _ in found], [len(a) for _, a, _ in found]), ids[at].tolist(), tuple(v[at] for v in views))
+
+    return ask
+
+
 def test_pool_teaches_the_weaker_view():
     r = np.random.default_rng(0)
     y = r.integers(0, 2, 3000).astype(float)
     views = [np.stack([(y - 0.5) * s + r.normal(size=3000) for s in (a, b)], axis=1).astype(np.float32) for a, b in ((4, 3), (1.5, 1.5))]
     few = np.arange(20)
     start = cotrain.fit(views[1][few], y[few])
-    _, taught = cotrain.co_train(tuple(v[few] for v in views), y[few], tuple(v[20:] for v in views))
+    _, taught, counts = cotrain.co_train(tuple(v[few] for v in views), y[few], _pool_in_memory(tuple(v[20:] for v in views), np.arange(20, 3000)))
     right = lambda w: ((cotrain.margin(views[1][20:], w) > 0) == (y[20:] > 0.5)).mean()
-    assert right(taught) >= right(start)
+    assert right(taught) > right(start) and min(counts[0][:2]) > 0
+
+
+def test_a_view_that_knows_only_the_prior_teaches_nothing():
+    r = np.random.default_rng(1)
+    y = (r.random(2000) < 0.9).astype(float)
+    views = (((y - 0.5)[:, None] * 6 + r.normal(size=(2000, 2))).astype(np.float32), np.zeros((2000, 2), np.float32))
+    *_, counts = cotrain.co_train(tuple(v[:500] for v in views), y[:500], _pool_in_memory(tuple(v[500:] for v in views), np.arange(500, 2000)), rounds=1)
+    assert counts[0][2:] == [0, 0] and min(counts[0][:2]) > 0
+
+
+def test_pool_is_every_unlabelled_row(spark):
+    """The distributed choice of rows equals that over the whole pool in memory, whatever the partitions."""
+    r = np.random.default_rng(2)
+    views = tuple(r.normal(size=(300, n)).astype(np.float32) for n in cotrain.WIDTHS)
+    models = [r.normal(size=n + 1) for n in cotrain.WIDTHS]
+    ids = np.arange(300)
+    rows = [(i, views[0][i].tobytes(), views[1][i].tobytes()) for i in range(300)]
+    given, least, most = [{3: 1, 5: 0}, {7: 1}], (0.6, 0.7), (9, 20)
+    want = _pool_in_memory(views, ids)(models, given, least, most)
+    for parts in (1, 5):
+        got = cotrain._pool(spark.createDataFrame(rows, "id long, text binary, meta binary").repartition(parts))(models, given, least, most)
+        assert (got.kind.tolist(), got.ids) == (want.kind.tolist(), want.ids)
+        assert all((a == b).all() for a, b in zip(got.views, want.views))
+
+
+def test_quality_query_equals_plain_scores(spark):
+    """Each row of the query against the model's formula worked out for that row alone."""
+    import pyarrow as pa
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = cotrain.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    got = {x.doc_id: x for x in cotrain.digest(cotrain.score(docs, model)).collect()}
+    for row in docs.collect():
+        batch = pa.RecordBatch.from_pylist([{c: row[c] for c in ("text", *model.columns)}])
+        logit = []
+        for x, w, c in zip((cotrain.text_view(batch.column("text"))[0], cotrain.meta_view(batch, model.columns)[0]), model.views, model.calibration):
+            raw = sum(float(a) * b for a, b in zip(x, w[:-1])) + w[-1]
+            logit.append(raw * c[0] + c[1])
+        total = logit[0] * model.combined[0] + logit[1] * model.combined[1] + model.combined[2]
+        x = got[row.doc_id]
+        assert x.score == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-6) and x.predicted == int(x.score >= 0.5)
+        assert x.held_out == (zlib.crc32(str(row.doc_id).encode()) % 5 == 0)
+    nothing = cotrain.train(docs.where("doc_id < 0"), spark.read.parquet(f"{SF}/labels.parquet"))
+    assert {x.score for x in cotrain.score(docs, nothing).collect()} == {0.5}
 
 
 # secrets
