@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from octolith.llm import textbytes
+from octolith.llm import textbytes, worker
 from octolith.llm.fmindex import FMIndex
 
 REPORT = "n_words long, n_hit long, item_ids array<string>, spans array<struct<start:long,end:long>>"
@@ -171,6 +171,7 @@ def _shards(batches: Iterator[pa.RecordBatch], blocks: list, shard_words: int) -
         for block in blocks:
             yield from block.value
 
+    worker.clear()
     shard = Shard()
     for whole in batches:
         for batch in textbytes.slices(whole, "text"):

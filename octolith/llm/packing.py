@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from octolith.llm import textbytes
+from octolith.llm import textbytes, worker
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_cost double"
 #: Letters below U+0250 only: there lower-casing first gives the tokenizer's own result.
@@ -131,13 +131,8 @@ class WordIds:
         return self.ids[into], np.diff(upto)
 
 
-_LOADED: dict[str, WordIds] = {}
-
-
 def word_ids(path: str) -> WordIds:
-    if path not in _LOADED:
-        _LOADED[path] = WordIds(path)
-    return _LOADED[path]
+    return worker.keep(("packing", path), lambda: WordIds(path))
 
 
 def assign(lengths: list[int], capacity: int, linear: float, quadratic: float) -> list[tuple[int, int, int, int, int]]:

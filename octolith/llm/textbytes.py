@@ -86,7 +86,7 @@ def joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"\n".join(raw), dtype=np.uint8), np.concatenate([[0], np.cumsum(lengths)])
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
     """Cuts a batch into runs of rows of about ``most`` text bytes, never splitting a row."""
     size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
     start, held = 0, 0

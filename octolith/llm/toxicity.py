@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from octolith.llm import textbytes
+from octolith.llm import textbytes, worker
 from octolith.llm.lexicon import LexiconAutomaton
 from octolith.llm.spark import cut
 
@@ -105,16 +105,9 @@ class Matcher:
         return hits, value[hits]
 
 
-_MATCHERS: dict[int, Matcher] = {}
-
-
 def matcher(lexicon: Lexicon) -> Matcher:
-    """The worker's matcher of these terms; what it has worked out serves all its tasks. One is kept."""
-    key = xxhash.xxh64_intdigest("\n".join(lexicon.terms))
-    if key not in _MATCHERS:
-        _MATCHERS.clear()
-        _MATCHERS[key] = Matcher(lexicon)
-    return _MATCHERS[key]
+    """The worker's matcher of these terms; what it has worked out serves all its tasks."""
+    return worker.keep(("toxicity", xxhash.xxh64_intdigest("\n".join(lexicon.terms))), lambda: Matcher(lexicon))
 
 
 def context(before: str, after: str) -> tuple[float, bool]:
@@ -261,7 +254,7 @@ def train(docs: DataFrame, labels: DataFrame, *, held_out_of: int = 5, most_labe
     def hits(batches):
         look = matcher(lexicon)
         for whole in batches:
-            for batch in textbytes.slices(whole, "text", 2 << 20):
+            for batch in textbytes.slices(whole, "text"):
                 got = list(_scan(batch, look))
                 yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([x[0] for x in got], pa.int64()), pa.array([[v for v, _, _ in x[1]] for x in got], pa.list_(pa.int64())), pa.array([[f for _, f, _ in x[1]] for x in got], pa.list_(pa.float64())), pa.array([[t for _, _, t in x[1]] for x in got], pa.list_(pa.bool_()))], ["toxic", "n_words", "value", "factor", "talk"])
 
@@ -291,7 +284,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         look = matcher(model.lexicon)
         for whole in batches:
-            for batch in textbytes.slices(whole, "text", 2 << 20):
+            for batch in textbytes.slices(whole, "text"):
                 got = list(_scan(batch, look))
                 p = model.score([features(model.lexicon, n, found) for n, found in got])
                 quoted = [sum(f < 0.35 for _, f, _ in found) for _, found in got]
@@ -306,7 +299,7 @@ def reject(docs: DataFrame, model: Model, *, least: float = 0.5) -> DataFrame:
     def run(batches):
         look = matcher(model.lexicon)
         for whole in batches:
-            for batch in textbytes.slices(whole, "text", 2 << 20):
+            for batch in textbytes.slices(whole, "text"):
                 p = model.score([features(model.lexicon, n, found) for n, found in _scan(batch, look)])
                 empty = np.array([not t.as_py() for t in batch.column("text")])
                 yield batch.filter(pa.array((p < least) | empty))
