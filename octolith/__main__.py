@@ -43,8 +43,7 @@ def main(arguments: list[str] | None = None) -> int:
     report.build_report(built, budget.parse_bytes(a.budget)).show(100, False)
     if a.dump_frame:
         width, height = map(int, a.size.lower().split("x"))
-        box = built.box.first()
-        camera = Camera.orbit(tuple(box[f"{k}max"] - box[f"{k}min"] for k in "xyz"), width, height)
+        camera = Camera.orbit(built.box.extent, width, height)
         options = render.Options(a.lod_budget, show_boxes=a.show_boxes, show_points=not a.hide_points)
         files.write_ppm(render.frame(built, camera, options), width, height, a.dump_frame)
     return 0

@@ -57,7 +57,3 @@ def name(level: Column, code: Column) -> Column:
     """``r`` and the octants from the root down."""
     digits = F.lpad(F.conv(code.cast("string"), 10, 8), MAX_DEPTH + 1, "0")
     return F.concat(F.lit("r"), F.substring(digits, F.lit(MAX_DEPTH + 2) - level, level))
-
-
-def octant(code: Column) -> Column:
-    return _and(code, 7)

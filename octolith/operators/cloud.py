@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,15 +19,37 @@ def bounds(points: DataFrame) -> DataFrame:
     return df.withColumn("size", F.when(extent > 0, extent).otherwise(F.lit(1.0)))
 
 
-def with_bounds(points: DataFrame, box: DataFrame | None = None) -> DataFrame:
-    """Each point with the one row of bounds beside it."""
-    box = bounds(points) if box is None else box
-    return points.crossJoin(F.broadcast(box.drop("n")))
+@dataclass(frozen=True)
+class Box:
+    """Known bounds: the numbers of :func:`bounds`, worked out by one pass and used as literals from then on."""
+
+    low: tuple[float | None, ...]
+    high: tuple[float | None, ...]
+    size: float | None
+    n: int
+
+    @classmethod
+    def of(cls, points: DataFrame) -> Box:
+        row = bounds(points).first()
+        return cls(tuple(row[f"{a}min"] for a in AXES), tuple(row[f"{a}max"] for a in AXES), row["size"], row["n"])
+
+    @property
+    def extent(self) -> tuple[float, ...]:
+        return tuple(h - lo for lo, h in zip(self.low, self.high))
+
+    def columns(self) -> dict[str, Column]:
+        named = {f"{a}min": v for a, v in zip(AXES, self.low)} | {f"{a}max": v for a, v in zip(AXES, self.high)} | {"size": self.size}
+        return {k: F.lit(v).cast("double") for k, v in named.items()}
+
+
+def with_bounds(points: DataFrame, box: Box) -> DataFrame:
+    """Each row with the bounds beside it."""
+    return points.withColumns(box.columns())
 
 
 def translate(points: DataFrame) -> DataFrame:
     """Points moved so that the box begins at the origin."""
-    df = with_bounds(points)
+    df = with_bounds(points, Box.of(points))
     return df.select("seq", *[(F.col(a) - F.col(f"{a}min")).alias(a) for a in AXES], "rgba")
 
 
@@ -47,13 +71,22 @@ def fit_header(header_min: float, header_max: float, observed_min: float, observ
     return low, max(header_max, observed_max), again
 
 
+def header_box(header, observed: Box) -> tuple[Box, bool]:
+    """The bounds that a file's header claims, corrected by those of its points; and whether the translation of the points changes by it."""
+    if header.low is None:
+        return observed, False
+    fitted = [fit_header(lo, hi, seen_lo, seen_hi, step) for lo, hi, seen_lo, seen_hi, step in zip(header.low, header.high, observed.low, observed.high, header.scale)]
+    low, high = tuple(f[0] for f in fitted), tuple(f[1] for f in fitted)
+    return Box(low, high, max(h - lo for lo, h in zip(low, high)) or 1.0, observed.n), any(f[2] for f in fitted)
+
+
 def _unit(axis: str) -> Column:
     return keys.unit(F.col(axis), F.col(f"{axis}min"), F.col("size"))
 
 
-def keyed(points: DataFrame, box: DataFrame | None = None) -> DataFrame:
+def keyed(points: DataFrame, box: Box | None = None) -> DataFrame:
     """Points with unit coordinates ``ux, uy, uz`` in the root cube and their full-depth ``code``."""
-    df = with_bounds(points, box).withColumns({f"u{a}": _unit(a) for a in AXES})
+    df = with_bounds(points, box or Box.of(points)).withColumns({f"u{a}": _unit(a) for a in AXES})
     return keys.with_morton(df, "code", [keys.wrapped(F.col(f"u{a}")) for a in AXES])
 
 

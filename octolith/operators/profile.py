@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from octolith.session import cut
+
 RECENT = 4096
 
 
@@ -26,10 +28,21 @@ def percentiles(samples: DataFrame, shares: tuple[float, ...] = (0.5, 0.95, 0.99
     return recent(samples, most).groupBy("scope").agg(*parts)
 
 
-def moving(samples: DataFrame, frames: int = 240) -> DataFrame:
-    """Mean and maximum over each sample and those just before it, per scope."""
-    w = Window.partitionBy("scope").orderBy("seq").rowsBetween(1 - frames, 0)
-    return samples.select("scope", "seq", F.avg("ms").over(w).alias("mean"), F.max("ms").over(w).alias("most"))
+def moving(samples: DataFrame, frames: int = 240, run: int = 50_000) -> DataFrame:
+    """Mean and maximum over each sample and those just before it, per scope.
+
+    There may be few scopes, so a scope is dealt out in runs of ``run`` samples by their place in
+    its order; each run also gets the ``frames - 1`` samples before it.
+    """
+    ranged = cut(samples.select("scope", "seq", "ms").repartitionByRange("scope", "seq").withColumn("part", F.spark_partition_id()))
+    sizes = ranged.groupBy("scope", "part").agg(F.count("*").alias("size"))  # a few rows for each partition
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("scope").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("scope", "part").orderBy("seq")) - 1
+    df = ranged.withColumn("place", place).join(F.broadcast(sizes.select("scope", "part", before.alias("before"))), ["scope", "part"]).withColumn("place", F.col("place") + F.col("before"))
+    own = F.floor(F.col("place") / run)
+    df = df.withColumn("run", F.explode(F.sequence(own, F.floor((F.col("place") + frames - 1) / run)))).withColumn("own", own == F.col("run"))
+    w = Window.partitionBy("scope", "run").orderBy("place").rowsBetween(1 - frames, 0)
+    return df.select("scope", "seq", "own", F.avg("ms").over(w).alias("mean"), F.max("ms").over(w).alias("most")).where("own").drop("own")
 
 
 def phase_durations(marks: DataFrame) -> DataFrame:

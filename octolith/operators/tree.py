@@ -16,6 +16,8 @@ from octolith.config import CHUNK_POINTS, MAX_DEPTH, NODE_CAPACITY, TreeParams
 from octolith.functions import keys
 
 BANDS = (7, 14, MAX_DEPTH)
+#: Up to so many cells of a band are broadcast, in 12 bytes each.
+BROADCAST_CELLS = 1_000_000
 
 
 def pyramid(cells: DataFrame, at: int, low: int) -> DataFrame:
@@ -113,18 +115,34 @@ class Tree:
     def level_histogram(self) -> DataFrame:
         return self.nodes().groupBy(F.col("level").cast("long").alias("level")).agg(F.count("*").alias("nodes"), F.count_if("is_inner").alias("inner_nodes"), F.sum(F.when(F.col("is_inner"), 0).otherwise(F.col("n"))).alias("points"))
 
+    def _found(self, low: int, end: int) -> DataFrame:
+        """``cell, found``: for each counted cell at level ``end`` how many of its ancestors from level ``low`` on are inner nodes. Ancestors of inner nodes are inner nodes, so this tells the leaf."""
+        cells = self.cells.where(F.col("level") == end).select(F.col("code").alias("cell"))
+        up = cells.withColumn("level", F.explode(F.sequence(F.lit(low), F.lit(end - 1))))
+        up = up.withColumn("code", F.call_function("shiftright", F.col("cell"), ((F.lit(end) - F.col("level")) * 3).cast("int")))
+        return up.join(self.inner, ["level", "code"], "left_semi").groupBy("cell").agg(F.count("*").cast("int").alias("found"))
+
     def assigned(self, points: DataFrame | None = None) -> DataFrame:
         """Each point with the ``level`` and ``leaf`` of the leaf that holds it: one level below its deepest inner ancestor.
 
-        A point is looked up once at each level that has inner nodes. While the inner nodes are
-        small they are broadcast and points don't move.
+        A point is looked up once for each band of levels, at most three times, by its cell at the
+        band's end; most trees end within the first band. While a band's cells are few they are
+        broadcast and points don't move.
         """
         df = self.codes if points is None else points
         deepest = self.inner.agg(F.coalesce(F.max("level"), F.lit(-1))).first()[0]
-        found = F.lit(-1)
-        for level in range(deepest + 1):
-            here = self.inner.where(F.col("level") == level).select(F.col("code").alias(f"inner{level}"))
-            df = df.join(here, keys.at_level(F.col("code"), level) == F.col(f"inner{level}"), "left")
-            found = F.when(F.col(f"inner{level}").isNotNull(), F.lit(level)).otherwise(found)
-        df = df.withColumn("level", found + 1).drop(*[f"inner{k}" for k in range(deepest + 1)])
+        level, low = F.lit(0), 0
+        for end in [b for b in BANDS if b <= deepest] + [deepest + 1] * (deepest >= 0):
+            found = self._found(low, end).withColumnsRenamed({"cell": f"cell{end}", "found": f"found{end}"}).persist()
+            if found.count() <= BROADCAST_CELLS:
+                found = F.broadcast(found)
+            df = df.join(found, keys.at_level(F.col("code"), end) == F.col(f"cell{end}"), "left")
+            level, low = level + F.coalesce(f"found{end}", F.lit(0)), end
+        df = df.withColumn("level", level)
+        df = df.drop(*[c for c in df.columns if c.startswith(("cell", "found")) and c not in (self.codes if points is None else points).columns])
         return df.withColumn("leaf", keys.at_level(F.col("code"), F.col("level")))
+
+    def close(self) -> None:
+        """Frees what is kept of the tree."""
+        self.inner.unpersist()
+        self.cells.unpersist()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from octolith.config import MAX_DEPTH
 from octolith.functions import colour, keys
-from octolith.operators.cloud import AXES
+from octolith.operators.cloud import AXES, Box, with_bounds
 from octolith.operators.tree import Tree
 
 _SUMS = ("n", "r", "g", "b")
@@ -56,9 +56,9 @@ def _centre(axis: int, tree: Tree) -> Column:
     return F.col(f"{a}min") + keys.gather(F.col("node"), axis) * edge + edge * ((F.col(f"i{a}") + 0.5) / float(1 << tree.params.grid_bits))
 
 
-def first_come(tree: Tree, box: DataFrame) -> DataFrame:
+def first_come(tree: Tree, box: Box) -> DataFrame:
     """Voxels at their centres with the first point's colour."""
-    df = cells(tree).crossJoin(F.broadcast(box.drop("n")))
+    df = with_bounds(cells(tree), box)
     return df.select("level", "node", "ix", "iy", "iz", *[_centre(k, tree).alias(a) for k, a in enumerate(AXES)], "rgba")
 
 

@@ -29,10 +29,10 @@ def morton(x: str, y: str, z: str) -> str:
 
 
 def points(view: str) -> str:
-    return f"""WITH p AS (SELECT * FROM ({POINTS[view]}) WHERE x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL),
-b AS (SELECT min(x) xmin, min(y) ymin, min(z) zmin, max(x) xmax, max(y) ymax, max(z) zmax, count(*) n,
+    return f"""WITH p AS MATERIALIZED (SELECT * FROM ({POINTS[view]}) WHERE x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL),
+b AS MATERIALIZED (SELECT min(x) xmin, min(y) ymin, min(z) zmin, max(x) xmax, max(y) ymax, max(z) zmax, count(*) n,
  CASE WHEN greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) > 0 THEN greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) ELSE 1e0 END size FROM p),
-k AS (SELECT seq, x, y, z, rgba, (x - xmin) / size ux, (y - ymin) / size uy, (z - zmin) / size uz,
+k AS MATERIALIZED (SELECT seq, x, y, z, rgba, (x - xmin) / size ux, (y - ymin) / size uy, (z - zmin) / size uz,
  CAST(floor(ux * 1048576) AS BIGINT) & 1048575 cx, CAST(floor(uy * 1048576) AS BIGINT) & 1048575 cy, CAST(floor(uz * 1048576) AS BIGINT) & 1048575 cz,
  {morton('cx', 'cy', 'cz')} code FROM p, b)"""
 
@@ -40,19 +40,19 @@ k AS (SELECT seq, x, y, z, rgba, (x - xmin) / size ux, (y - ymin) / size uy, (z
 def tree(view: str) -> str:
     """Points, cell counts, inner nodes and nodes of the adaptive tree."""
     return f"""{points(view)},
-cnt AS (SELECT level, code >> (3 * (20 - level)) code, count(*) n FROM k, (SELECT unnest(range(0, 21)) level) GROUP BY ALL),
-inn AS (SELECT level, code FROM cnt WHERE n > {TREES[view].threshold} AND level < 20),
+cnt AS MATERIALIZED (SELECT level, code >> (3 * (20 - level)) code, count(*) n FROM k, (SELECT unnest(range(0, 21)) level) GROUP BY ALL),
+inn AS MATERIALIZED (SELECT level, code FROM cnt WHERE n > {TREES[view].threshold} AND level < 20),
 {_NODES.format(over=f"coalesce(n, 0) > {TREES[view].threshold} AND level < 20")}"""
 
 
-_NODES = """nodes AS (SELECT level, code, coalesce(n, 0)::BIGINT n, {over} is_inner FROM (
+_NODES = """nodes AS MATERIALIZED (SELECT level, code, coalesce(n, 0)::BIGINT n, {over} is_inner FROM (
  SELECT 0::BIGINT level, 0::BIGINT code UNION ALL SELECT level + 1, code * 8 + o FROM inn, (SELECT unnest(range(0, 8)) o)) LEFT JOIN cnt USING (level, code))"""
 
 
 def fixed(view: str, depth: int) -> str:
     return f"""{points(view)},
-cnt AS (SELECT level, code >> (3 * (20 - level)) code, count(*) n FROM k, (SELECT unnest(range(0, {depth + 1})) level) GROUP BY ALL),
-inn AS (SELECT level, code FROM cnt WHERE level < {depth}),
+cnt AS MATERIALIZED (SELECT level, code >> (3 * (20 - level)) code, count(*) n FROM k, (SELECT unnest(range(0, {depth + 1})) level) GROUP BY ALL),
+inn AS MATERIALIZED (SELECT level, code FROM cnt WHERE level < {depth}),
 {_NODES.format(over=f"coalesce(n, 0) > 0 AND level < {depth}")}"""
 
 
@@ -67,7 +67,7 @@ def voxels(view: str) -> str:
     cell = ", ".join(f"CAST(floor(u{a} * pow(2, level + {bits})) AS BIGINT) % {1 << bits} i{a}" for a in "xyz")
     sums = ", ".join(f"sum((rgba >> {8 * k}) & 255)::BIGINT {c}" for k, c in enumerate("rgb"))
     return f"""{tree(view)},
-vox AS (SELECT i.level level, i.code node, {cell}, arg_min(rgba, seq) rgba, count(*) n, {sums} FROM inn i JOIN k ON k.code >> (3 * (20 - i.level)) = i.code GROUP BY i.level, i.code, ix, iy, iz)"""
+vox AS MATERIALIZED (SELECT i.level level, i.code node, {cell}, arg_min(rgba, seq) rgba, count(*) n, {sums} FROM inn i JOIN k ON k.code >> (3 * (20 - i.level)) = i.code GROUP BY i.level, i.code, ix, iy, iz)"""
 
 
 SUMS = ("sx", "sy", "sz", "sxx", "sxy", "sxz", "syy", "syz", "szz", "sr", "sg", "sb", "srr", "sgg", "sbb")
@@ -79,7 +79,7 @@ def leaf_points(view: str) -> str:
     local = ", ".join(f"greatest(0, least(1, u{a} * pow(2, level) - {gather('leaf', k)})) l{a}" for k, a in enumerate("xyz"))
     tint = ", ".join(f"((rgba >> {8 * k}) & 255) / 255e0 cc{c}" for k, c in enumerate("rgb"))
     return f"""{tree(view)},
-lp AS (SELECT k.*, l.level, l.code leaf, {local}, {tint} FROM k JOIN nodes l ON NOT l.is_inner AND k.code >> (3 * (20 - l.level)) = l.code)"""
+lp AS MATERIALIZED (SELECT k.*, l.level, l.code leaf, {local}, {tint} FROM k JOIN nodes l ON NOT l.is_inner AND k.code >> (3 * (20 - l.level)) = l.code)"""
 
 
 def sums(source: str, by: str, digits: int | None = 6) -> str:
@@ -92,7 +92,7 @@ def rolled(view: str) -> str:
     up = ", ".join(f"(l{a} + ({gather('leaf', k)} & ((1::BIGINT << d) - 1))) / pow(2, d) l{a}" for k, a in enumerate("xyz"))
     return f"""{leaf_points(view)},
 anc AS (SELECT lp.level - d level, leaf >> (3 * d) code, {up}, ccr, ccg, ccb FROM lp, (SELECT unnest(range(0, 21)) d) WHERE d <= lp.level),
-rolled AS ({sums('anc', 'level, code', None)})"""
+rolled AS MATERIALIZED ({sums('anc', 'level, code', None)})"""
 
 
 def shapes(view: str) -> str:
@@ -102,7 +102,7 @@ cov AS (SELECT level, code, n, {c}, (cxx + cyy + czz) / 3 q FROM rolled WHERE n
 ep AS (SELECT *, sqrt(((cxx - q) * (cxx - q) + (cyy - q) * (cyy - q) + (czz - q) * (czz - q) + 2 * (cxy * cxy + cxz * cxz + cyz * cyz)) / 6) p FROM cov),
 ef AS (SELECT *, CASE WHEN p > 0 THEN acos(greatest(-1, least(1, ((cxx - q) * ((cyy - q) * (czz - q) - cyz * cyz) - cxy * (cxy * (czz - q) - cyz * cxz) + cxz * (cxy * cyz - (cyy - q) * cxz)) / (p * p * p) / 2))) / 3 ELSE 0 END phi FROM ep),
 eg AS (SELECT *, q + 2 * p * cos(phi) e_max, q + 2 * p * cos(phi + 2 * pi() / 3) e_min, 3 * q - e_max - e_min e_mid, cxx + cyy + czz total FROM ef),
-shp AS (SELECT *, {_ratio('e_min', 'total')} surface_variation, {_ratio('e_max - e_mid', 'e_max')} linearity, {_ratio('e_mid - e_min', 'e_max')} planarity, {_ratio('e_min', 'e_max')} scattering FROM eg)"""
+shp AS MATERIALIZED (SELECT *, {_ratio('e_min', 'total')} surface_variation, {_ratio('e_max - e_mid', 'e_max')} linearity, {_ratio('e_mid - e_min', 'e_max')} planarity, {_ratio('e_min', 'e_max')} scattering FROM eg)"""
 
 
 def _ratio(a: str, b: str) -> str:
@@ -132,7 +132,7 @@ def visible(view: str) -> str:
     return f"""{voxels(view)},
 nv AS (SELECT level, node code, count(*) num_voxels FROM vox GROUP BY ALL),
 nb AS (SELECT nodes.*, CASE WHEN is_inner THEN coalesce(num_voxels, 0) ELSE nodes.n END samples, size / pow(2, level) edge, {low} FROM nodes LEFT JOIN nv USING (level, code), b),
-vis AS (SELECT *, {extent(xs)} dx, {extent(ys)} dy, samples > 0 AND {planes} visible, dx > {PIXELS} OR dy > {PIXELS} "large" FROM nb),
+vis AS MATERIALIZED (SELECT *, {extent(xs)} dx, {extent(ys)} dy, samples > 0 AND {planes} visible, dx > {PIXELS} OR dy > {PIXELS} "large" FROM nb),
 front AS (SELECT v.* FROM vis v WHERE v.visible AND NOT v."large" AND EXISTS (SELECT 1 FROM vis q WHERE q.is_inner AND q."large" AND q.level + 1 = v.level AND q.code = v.code >> 3)
  UNION ALL SELECT * FROM vis WHERE visible AND "large" AND NOT is_inner)"""
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +13,7 @@ from octolith.functions import colour, geometry
 from octolith.operators import accum, budget, cloud, profile, raster, refine, select, voxels
 from octolith.operators.tree import Tree, cells_at, pyramid
 from octolith.plans import pipelines, render, report
+from octolith.session import shared_dir
 from octolith.sources import synthetic, views
 from octolith.streaming import batches
 
@@ -38,7 +38,7 @@ def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 
 def _tree(spark: SparkSession, sf_dir: str, view: str = "events", settle: bool = True) -> tuple[Tree, DataFrame]:
     points = _VIEWS[view](spark, sf_dir)
-    box = cloud.bounds(points)
+    box = cloud.Box.of(points)
     tree = Tree.adaptive(cloud.keyed(points, box), st.TREES[view])
     return tree.settle() if settle else tree, box
 
@@ -226,9 +226,10 @@ def node_colour_variance(spark, sf_dir):
     return _rounded(df, "var_r", "var_g", "var_b")
 
 
-@query(sql.shapes("events") + ' SELECT level::BIGINT "level", code, round(sqrt(greatest(e_min, 0)) * size / pow(2, level), 4) residual FROM shp, b WHERE shp.n >= 20')
+@query(sql.shapes("events") + f' SELECT level::BIGINT "level", code, round(sqrt(greatest(e_min, 0)) * size / pow(2, level), 4) residual FROM shp, b WHERE shp.n >= {st.LEAST_SHAPE_POINTS}')
 def node_plane_residual(spark, sf_dir):
-    df = accum.shape(_rolled(spark, sf_dir)).where("n >= 20").crossJoin(F.broadcast(cloud.bounds(views.events(spark, sf_dir)).select("size")))
+    df = accum.shape(_rolled(spark, sf_dir)).where(F.col("n") >= st.LEAST_SHAPE_POINTS)
+    df = cloud.with_bounds(df, cloud.Box.of(views.events(spark, sf_dir)))
     return df.select(F.col("level").cast("long").alias("level"), "code", F.round(F.sqrt(F.greatest("e_min", F.lit(0.0))) * F.col("size") / F.pow(F.lit(2.0), F.col("level")), 4).alias("residual"))
 
 
@@ -237,13 +238,13 @@ _NORMAL = ", ".join(f"CASE WHEN v.l > 0 THEN round(v.{a} / sqrt(v.l) * s, 4) ELS
 
 
 @query(sql.shapes("events") + f""",
-rw AS (SELECT level, code, cxx - e_min r0, cxy r1, cxz r2, cxy s0, cyy - e_min s1, cyz s2, cxz t0, cyz t1, czz - e_min t2 FROM shp WHERE n >= 20),
+rw AS (SELECT level, code, cxx - e_min r0, cxy r1, cxz r2, cxy s0, cyy - e_min s1, cyz s2, cxz t0, cyz t1, czz - e_min t2 FROM shp WHERE n >= {st.LEAST_SHAPE_POINTS}),
 cr AS ({_CROSS}),
 mx AS (SELECT level, code, max({{'l': x * x + y * y + z * z, 'x': x, 'y': y, 'z': z}}) v FROM cr GROUP BY ALL),
 sg AS (SELECT *, CASE WHEN CASE WHEN abs(v.x) >= abs(v.y) AND abs(v.x) >= abs(v.z) THEN v.x WHEN abs(v.y) >= abs(v.z) THEN v.y ELSE v.z END < 0 THEN -1 ELSE 1 END s FROM mx)
 SELECT level::BIGINT "level", code, {_NORMAL} FROM sg""")
 def node_normals(spark, sf_dir):
-    df = geometry.with_normals(accum.shape(_rolled(spark, sf_dir)).where("n >= 20"))
+    df = geometry.with_normals(accum.shape(_rolled(spark, sf_dir)).where(F.col("n") >= st.LEAST_SHAPE_POINTS))
     return _rounded(df.select(F.col("level").cast("long").alias("level"), "code", "nx", "ny", "nz"), "nx", "ny", "nz", digits=4)
 
 
@@ -360,7 +361,7 @@ def build_report(spark, sf_dir):
 
 
 @query(sql.points("events") + f""",
-c AS (SELECT CAST(floor(seq / {st.BATCH}) AS BIGINT) batch, level, code >> (3 * (20 - level)) code, count(*) n FROM k, (SELECT unnest(range(0, {st.PROGRESS_DEPTH})) level) GROUP BY ALL),
+c AS (SELECT CAST(floor(seq / {st.BATCH}) AS BIGINT) batch, level, code >> (3 * (20 - level)) code, count(*) n FROM k, (SELECT unnest(range(0, 20)) level) GROUP BY ALL),
 bt AS (SELECT DISTINCT batch FROM c),
 s AS (SELECT bt.batch, level, code, sum(n) n FROM bt JOIN c ON c.batch <= bt.batch GROUP BY ALL)
 SELECT batch, sum(CASE WHEN level = 0 THEN n END)::BIGINT points, count_if(n > {st.TREES['events'].threshold})::BIGINT inner_nodes, (8 * count_if(n > {st.TREES['events'].threshold}) + 1)::BIGINT nodes FROM s GROUP BY batch""")
@@ -391,15 +392,14 @@ def closure_by_batch_age(spark, sf_dir):
 @query(sql.points("events") + f", t AS (SELECT * FROM k WHERE seq < 3 * {st.BATCH}), c AS (SELECT level, code >> (3 * (20 - level)) code, count(*) n FROM t, (SELECT unnest(range(0, 20)) level) GROUP BY ALL) SELECT count_if(n > {st.TREES['events'].threshold})::BIGINT inner_nodes, (8 * count_if(n > {st.TREES['events'].threshold}) + 1)::BIGINT nodes, sum(CASE WHEN level = 0 THEN n END)::BIGINT points FROM c")
 def truncated_build(spark, sf_dir):
     points = views.events(spark, sf_dir)
-    part = cloud.keyed(batches.truncated(points, st.BATCH, 3), cloud.bounds(points))
+    part = cloud.keyed(batches.truncated(points, st.BATCH, 3), cloud.Box.of(points))
     return Tree.adaptive(part, st.TREES["events"]).stats().select("inner_nodes", "nodes", "points")
 
 
-@query(sql.fixed("events", st.PROGRESS_DEPTH) + f' SELECT level::BIGINT "level", code, n FROM cnt WHERE n > {st.TREES["events"].threshold} AND level < {st.PROGRESS_DEPTH}')
+@query(sql.tree("events") + f' SELECT level::BIGINT "level", code, n FROM cnt WHERE n > {st.TREES["events"].threshold} AND level < 20')
 def stream_equals_batch(spark, sf_dir):
     """The inner nodes that a stream over the events arrives at; a Structured Streaming query is run to its end."""
-    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="octolith-")
-    folder = f"{root}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     points = views.events(spark, sf_dir)
     box = cloud.bounds(points).first()
     state = batches.CellState(f"{folder}/state", st.TREES["events"].max_depth, (box["xmin"], box["ymin"], box["zmin"], box["size"]))
@@ -512,23 +512,29 @@ def collapse_candidates(spark, sf_dir):
     return _rounded(df, "surface_variation").withColumn("level", F.col("level").cast("long"))
 
 
-_CLOUDS = sql.points("embeddings") + ", a AS (SELECT seq, x, y, z FROM p), t AS (SELECT x, y, z FROM p WHERE seq % 4 = 0), near AS (SELECT a.seq, min(sqrt((a.x - t.x) * (a.x - t.x) + (a.y - t.y) * (a.y - t.y) + (a.z - t.z) * (a.z - t.z))) d FROM a, t GROUP BY a.seq)"
+_GRID = ", ".join(f"{a}min + {sql.gather('node', k)} * {_EDGE} + {_EDGE} * ((i{a} + 0.5e0) / {1 << st.TREES['embeddings'].grid_bits}) {a}" for k, a in enumerate("xyz"))
+_BETWEEN = "min(sqrt((a.x - t.x) * (a.x - t.x) + (a.y - t.y) * (a.y - t.y) + (a.z - t.z) * (a.z - t.z))) d"
+_CLOUDS = sql.voxels("embeddings") + f""",
+a AS (SELECT seq, x, y, z FROM p), t AS (SELECT node * 512 + ix * 64 + iy * 8 + iz id, {_GRID} FROM vox, b WHERE level = 1),
+fw AS (SELECT a.seq, {_BETWEEN} FROM a, t GROUP BY a.seq), bw AS (SELECT t.id, {_BETWEEN} FROM a, t GROUP BY t.id)"""
 
 
 def _pair(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """A cloud and every fourth of its points: the full one and a coarse one."""
+    """A cloud, and the samples that stand for it at level 1 of its tree."""
+    tree, box = _tree(spark, sf_dir, "embeddings")
     full = views.embeddings(spark, sf_dir).withColumnRenamed("seq", "id")
-    return full, full.where("id % 4 = 0")
+    number = F.col("node") * 512 + F.col("ix") * 64 + F.col("iy") * 8 + F.col("iz")
+    return full, voxels.first_come(tree, box).where("level = 1").select(number.alias("id"), "x", "y", "z")
 
 
-@query(_CLOUDS + " SELECT round(avg(d), 6) forward, 0e0 backward, round(avg(d), 6) chamfer FROM near")
+@query(_CLOUDS + " SELECT round(f, 6) forward, round(g, 6) backward, round(f + g, 6) chamfer FROM (SELECT avg(d) f FROM fw), (SELECT avg(d) g FROM bw)")
 def chamfer_distance(spark, sf_dir):
-    return _rounded(refine.chamfer(*_pair(spark, sf_dir), cell=0.05), "forward", "backward", "chamfer")
+    return _rounded(refine.chamfer(*_pair(spark, sf_dir)), "forward", "backward", "chamfer")
 
 
-@query(_CLOUDS + " SELECT round(max(d), 6) forward, 0e0 backward, round(max(d), 6) hausdorff FROM near")
+@query(_CLOUDS + " SELECT round(f, 6) forward, round(g, 6) backward, round(greatest(f, g), 6) hausdorff FROM (SELECT max(d) f FROM fw), (SELECT max(d) g FROM bw)")
 def hausdorff_distance(spark, sf_dir):
-    return _rounded(refine.hausdorff(*_pair(spark, sf_dir), cell=0.05), "forward", "backward", "hausdorff")
+    return _rounded(refine.hausdorff(*_pair(spark, sf_dir)), "forward", "backward", "hausdorff")
 
 
 # sources
@@ -539,6 +545,14 @@ def synthetic_cloud(spark, sf_dir):
     return synthetic.cloud(spark, 20_000)
 
 
-@query()
+_WRAP = "18446744073709551616::UHUGEINT"
+_CHANNEL = [f"({colour.HASH_LOW} + ((h >> {s}) & 255) * {colour.HASH_RANGE} // 255)" for s in (0, 8, 16)]
+
+
+@query(f"""WITH l AS (SELECT unnest(range(0, 21)) "level"),
+a AS (SELECT "level", ((("level" * {colour.LEVEL_STEP})::UHUGEINT + {colour.HASH_STEP}::UHUGEINT) % {_WRAP} * {colour.HASH_STEP}::UHUGEINT % {_WRAP})::UBIGINT h FROM l),
+b AS (SELECT "level", (xor(h, h >> {colour.HASH_SHIFTS[0]})::UHUGEINT * {colour.HASH_FACTOR}::UHUGEINT % {_WRAP})::UBIGINT h FROM a),
+c AS (SELECT "level", xor(h, h >> {colour.HASH_SHIFTS[1]}) h FROM b)
+SELECT "level", ({_CHANNEL[0]} + {_CHANNEL[1]} * 256 + {_CHANNEL[2]} * 65536 + 255 * 16777216::BIGINT)::BIGINT rgba FROM c""")
 def level_colours(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(colour.level_colours())), "level long, rgba long")

@@ -9,7 +9,8 @@ DEPTH = 4
 BATCH = 1000
 SLOTS = 5
 PATH_DEPTH = 6
-PROGRESS_DEPTH = 8
+#: A plane through fewer points says nothing of a surface.
+LEAST_SHAPE_POINTS = 20
 PIXELS = 12.0
 IMAGE = (64, 36)
 #: A fixed box near that of the events, so that the camera does not depend on the table.

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
@@ -18,6 +19,7 @@ from octolith.config import BATCH_POINTS
 SCHEMA = "seq long, x double, y double, z double, rgba long"
 SPLIT_POINTS = 4_000_000
 _BATCH = 65_536
+LAS_NAMES, RAW_NAMES = ("las", "laz"), ("bin", "raw", "pts16")
 _RAW_HEADER = 24
 _RAW = np.dtype([("x", "<f4"), ("y", "<f4"), ("z", "<f4"), ("rgba", "<u4")])
 #: LAS point formats 0-10 as the public specification has them: least record length, offset of the colours (0: none).
@@ -75,14 +77,25 @@ def las_header(head: bytes, size: int, path: str = "") -> Header:
     return Header("las", points, offset, record, scale, shift, box[1::2], box[::2], colours)
 
 
-def read_header(path: str) -> Header:
-    """A file is LAS if it is signed so or named ``.las`` or ``.laz`` in any case; otherwise it holds raw points."""
-    size = os.path.getsize(path)
-    with open(path, "rb") as f:
-        head = f.read(375)
-    if head[:4] == b"LASF" or path.lower().endswith((".las", ".laz")):
+def _store(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path and the path there: a local one, or any that its address names (s3, gs, hdfs, file)."""
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), os.path.abspath(path))
+
+
+def header_of(head: bytes, size: int, path: str, kind: str | None = None) -> Header:
+    """A file is LAS if it is signed so or named ``.las`` or ``.laz`` in any case, raw if it is named so (``RAW_NAMES``); any other has to be called ``raw`` or ``las`` by ``kind``."""
+    name = path.lower().rpartition(".")[2]
+    if kind == "las" or kind is None and (head[:4] == b"LASF" or name in LAS_NAMES):
         return las_header(head, size, path)
-    return raw_header(size, path)
+    if kind == "raw" or kind is None and name in RAW_NAMES:
+        return raw_header(size, path)
+    raise ValueError(f"unknown kind of file: {path}")
+
+
+def read_header(path: str, kind: str | None = None) -> Header:
+    store, there = _store(path)
+    with store.open_input_file(there) as f:
+        return header_of(f.read(375), f.size(), path, kind)
 
 
 def decode(header: Header, data: bytes, first: int) -> pa.RecordBatch:
@@ -111,15 +124,16 @@ class _Range(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, split: int):
-        self.path, self.split, self.header = path, split, read_header(path)
+    def __init__(self, path: str, split: int, kind: str | None = None):
+        self.path, self.split, self.header = path, split, read_header(path, kind)
 
     def partitions(self) -> list[InputPartition]:
         return [_Range(k, min(self.split, self.header.points - k)) for k in range(0, self.header.points, self.split)]
 
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
         h, left, at = self.header, partition.count, partition.first
-        with open(self.path, "rb") as f:
+        store, there = _store(self.path)
+        with store.open_input_file(there) as f:
             f.seek(h.offset + at * h.record)
             while left:
                 n = min(left, _BATCH)
@@ -130,8 +144,8 @@ class _Reader(DataSourceReader):
 class _StreamReader(DataSourceStreamReader):
     """A file as a finite stream: each micro-batch takes the next ``batch_points`` points; offsets are points, so a restart goes on where the last commit was."""
 
-    def __init__(self, path: str, batch_points: int, split: int):
-        self.inner, self.batch, self.seen = _Reader(path, split), batch_points, 0
+    def __init__(self, path: str, batch_points: int, split: int, kind: str | None = None):
+        self.inner, self.batch, self.seen = _Reader(path, split, kind), batch_points, 0
 
     def initialOffset(self) -> dict:
         return {"point": 0}
@@ -152,7 +166,7 @@ class _StreamReader(DataSourceStreamReader):
 
 
 class PointFileSource(DataSource):
-    """``spark.read.format("points").load(path)``: seekable ranges of one file on a path that all executors share."""
+    """``spark.read.format("points").load(path)``: seekable ranges of one file, on a path that all executors share or in a store that its address names. ``kind`` (``las``, ``raw``) says what a file of another name is."""
 
     @classmethod
     def name(cls) -> str:
@@ -164,12 +178,12 @@ class PointFileSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         if not (path := self.options.get("path")):
             raise ValueError("a point file needs a path")
-        return _Reader(path, int(self.options.get("split_points", SPLIT_POINTS)))
+        return _Reader(path, int(self.options.get("split_points", SPLIT_POINTS)), self.options.get("kind"))
 
     def streamReader(self, schema) -> DataSourceStreamReader:
         if not (path := self.options.get("path")):
             raise ValueError("a point file needs a path")
-        return _StreamReader(path, int(self.options.get("batch_points", BATCH_POINTS)), int(self.options.get("split_points", SPLIT_POINTS)))
+        return _StreamReader(path, int(self.options.get("batch_points", BATCH_POINTS)), int(self.options.get("split_points", SPLIT_POINTS)), self.options.get("kind"))
 
 
 def load_cloud(spark: SparkSession, paths: str | list[str], **options) -> DataFrame:
@@ -177,21 +191,19 @@ def load_cloud(spark: SparkSession, paths: str | list[str], **options) -> DataFr
     paths = [paths] if isinstance(paths, str) else list(paths)
     if len(paths) != 1:
         raise ValueError("one file at a time")
-    if not os.path.exists(paths[0]):
-        raise FileNotFoundError(paths[0])
-    read_header(paths[0])
+    read_header(paths[0], options.get("kind"))
     spark.dataSource.register(PointFileSource)
     return spark.read.format("points").options(**options).load(paths[0])
 
 
-def load_clouds(spark: SparkSession, path: str) -> DataFrame:
-    """The points of many files on any file system that Spark reads, one task a file: ``file`` and the point columns."""
+def load_clouds(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+    """The points of many smaller files on any file system that Spark reads, one task and at most 2 GB a file: ``file`` and the point columns. Large files go through ``load_cloud``, which splits them."""
 
     def run(batches):
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
                 data = content.as_py()
-                header = las_header(data[:375], len(data), path) if data[:4] == b"LASF" else raw_header(len(data), path)
+                header = header_of(data[:375], len(data), path, kind)
                 for at in range(0, header.points, _BATCH):
                     n = min(_BATCH, header.points - at)
                     out = decode(header, data[header.offset + at * header.record : header.offset + (at + n) * header.record], at)
@@ -202,15 +214,15 @@ def load_clouds(spark: SparkSession, path: str) -> DataFrame:
 
 def datasets(spark: SparkSession, folder: str) -> DataFrame:
     """Files below a folder: ``path, label, bytes, points, supported, note``, supported ones first, then by label. Only headers are read."""
-    rows = []
-    for base, _, names in os.walk(folder):
-        for n in names:
-            path = os.path.join(base, n)
-            if n.lower().rpartition(".")[2] in ("las", "laz", "bin", "pts16"):
-                try:
-                    rows.append((path, n, os.path.getsize(path), read_header(path).points, True, ""))
-                except ValueError as e:
-                    rows.append((path, n, os.path.getsize(path), None, False, str(e).rpartition(": ")[0]))
+    rows, (store, there) = [], _store(folder)
+    scheme = folder.partition("://")[0] + "://" if "://" in folder else ""
+    for info in store.get_file_info(pafs.FileSelector(there, recursive=True)):
+        if info.is_file and info.base_name.lower().rpartition(".")[2] in LAS_NAMES + RAW_NAMES:
+            path = scheme + info.path
+            try:
+                rows.append((path, info.base_name, info.size, read_header(path).points, True, ""))
+            except ValueError as e:
+                rows.append((path, info.base_name, info.size, None, False, str(e).rpartition(": ")[0]))
     df = spark.createDataFrame(rows, "path string, label string, bytes long, points long, supported boolean, note string")
     return df.orderBy(F.desc("supported"), "label")
 

@@ -65,6 +65,29 @@ def test_one_file_at_a_time(spark, tmp_path):
         files.load_cloud(spark, str(tmp_path / "none.las"))
 
 
+def test_files_of_other_names_need_a_kind(spark, tmp_path):
+    df = spark.createDataFrame(ROWS, files.SCHEMA)
+    files.write_raw(df, str(tmp_path / "cloud.dat"))
+    with pytest.raises(ValueError, match="unknown kind"):
+        files.load_cloud(spark, str(tmp_path / "cloud.dat"))
+    assert files.load_cloud(spark, str(tmp_path / "cloud.dat"), kind="raw").count() == 100
+    assert files.load_cloud(spark, f"file://{tmp_path}/cloud.dat", kind="raw", split_points=9).agg({"seq": "sum"}).first()[0] == 4950
+
+
+@pytest.mark.parametrize("claimed,low,again", [((0.0, 49.5), 0.0, False), ((5.0, 60.0), 0.0, True), ((0.1, 10.0), 0.1, False), ((-3.0, 49.5), -3.0, False)])
+def test_header_bounds_are_corrected_by_the_points(spark, claimed, low, again):
+    from dataclasses import replace
+
+    from octolith.operators import cloud
+
+    seen = cloud.Box.of(spark.createDataFrame(ROWS, files.SCHEMA))
+    header = files.las_header(las(scale=(0.25, 0.25, 0.5)), 10_000)
+    header = replace(header, low=(claimed[0], *seen.low[1:]), high=(claimed[1], *seen.high[1:]))
+    box, moved = cloud.header_box(header, seen)
+    assert (box.low[0], box.high[0], moved) == (low, max(claimed[1], 49.5), again)
+    assert cloud.header_box(files.raw_header(40), seen) == (seen, False)
+
+
 def test_synthetic_cloud_is_a_shell_and_a_helix(spark):
     a, b = synthetic.cloud(spark, 800), synthetic.cloud(spark, 800).repartition(5)
     assert a.exceptAll(b).isEmpty()

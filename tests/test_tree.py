@@ -136,7 +136,7 @@ def test_shapes(spark, rows, measure):
 def test_small_root_shows_nothing(spark):
     r = random.Random(2)
     tree_points = _cloud(spark, [(r.random(), r.random(), r.random()) for _ in range(50)])
-    box = cloud.bounds(tree_points)
+    box = cloud.Box.of(tree_points)
     tree = Tree.adaptive(cloud.keyed(tree_points, box), TreeParams(5, 20, 2)).settle()
     nodes = select.visibility(tree, box, settings.Camera.orbit((1.0, 1.0, 1.0), 64, 36), 1e6)
     assert select.frontier(nodes).isEmpty()
