@@ -399,13 +399,24 @@ def truncated_build(spark, sf_dir):
 @query(sql.tree("events") + f' SELECT level::BIGINT "level", code, n FROM cnt WHERE n > {st.TREES["events"].threshold} AND level < 20')
 def stream_equals_batch(spark, sf_dir):
     """The inner nodes that a stream over the events arrives at; a Structured Streaming query is run to its end."""
+    return _streamed(spark, sf_dir, batches.CellState).inner(spark, st.TREES["events"].threshold).withColumn("level", F.col("level").cast("long"))
+
+
+@query(ORACLE["leaf_accum"])
+def stream_accum(spark, sf_dir):
+    """Sums of leaves carried by a stream from batch to batch, equal to those of one build."""
+    df = _streamed(spark, sf_dir, batches.SumState, batch_points=st.BATCH).leaf_sums(spark, st.TREES["events"].threshold)
+    return _rounded(df, *accum.SUMS).withColumn("level", F.col("level").cast("long"))
+
+
+def _streamed(spark, sf_dir, kind, **more):
     folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     points = views.events(spark, sf_dir)
     box = cloud.bounds(points).first()
-    state = batches.CellState(f"{folder}/state", st.TREES["events"].max_depth, (box["xmin"], box["ymin"], box["zmin"], box["size"]))
+    state = kind(f"{folder}/state", st.TREES["events"].max_depth, (box["xmin"], box["ymin"], box["zmin"], box["size"]), **more)
     points.repartition(4, "seq").write.option("maxRecordsPerFile", 5000).parquet(f"{folder}/in")
     batches.run_stream(spark, f"{folder}/in", points.schema.simpleString()[7:-1].replace(":", " "), state, f"{folder}/checkpoint", 2)
-    return state.inner(spark, st.TREES["events"].threshold).withColumn("level", F.col("level").cast("long"))
+    return state
 
 
 # budgets

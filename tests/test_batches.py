@@ -1,6 +1,7 @@
 import pytest
 
 from octolith import settings
+from octolith.config import TreeParams
 from octolith.operators import budget, cloud
 from octolith.operators.tree import Tree
 from octolith.plans import pipelines
@@ -96,3 +97,25 @@ def test_trees_of_batches_go_as_deep_as_the_whole_one(spark, tmp_path, monkeypat
     last = queries.progressive_octree(spark, "").orderBy("batch").collect()[-1]
     assert (last.points, last.inner_nodes) == (900, len(want))
     assert queries.batch_ratios(spark, "").first().splits == len(want)
+
+
+def test_sums_carried_by_a_stream_are_those_of_one_build(spark, tmp_path):
+    import random
+
+    from octolith.operators import accum
+
+    r = random.Random(5)
+    rows = [(k, r.random(), r.random(), r.random() / 2, r.randrange(1 << 32)) for k in range(300)] + [(300 + k, 0.7, 0.2, 0.1, 5) for k in range(20)] + [(400, 0.0, 0.0, 0.0, 1), (401, 1.0, 1.0, 1.0, 2), (402, 1.0, 0.5, 0.2, 3)]
+    points = spark.createDataFrame(rows, "seq long, x double, y double, z double, rgba long")
+    state = batches.SumState(str(tmp_path / "s"), 12, (0.0, 0.0, 0.0, 1.0), 100)
+    for k in range(3):
+        state.fold(points.where(f"seq % 3 = {k}"), k)
+    state.fold(points.where("seq % 3 = 1"), 1)  # run again
+    for own in (state, state.compact(spark, str(tmp_path / "c"))):
+        got = {(x.level, x.leaf): x for x in own.leaf_sums(spark, 15).collect()}
+        tree = Tree.adaptive(cloud.keyed(points), TreeParams(15, 12)).settle()
+        want = {(x.level, x.leaf): x for x in accum.leaf_sums(tree, 100).collect()}
+        assert got.keys() == want.keys()
+        for k, w in want.items():
+            assert (got[k].n, got[k].last_batch) == (w.n, w.last_batch)
+            assert all(got[k][c] == pytest.approx(w[c], abs=1e-9) for c in accum.SUMS)
