@@ -185,12 +185,12 @@ def assign(lengths: list[int], capacity: int, linear: float, quadratic: float) -
 def _pack_partition(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: int, linear: float, quadratic: float, window: int, ids_too: bool) -> Iterator[pa.RecordBatch]:
     encoder, task = word_ids(path), TaskContext.get()
     base = (task.partitionId() if task else 0) << 33
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
     waiting, used = 0, 0
 
     def flush():
         nonlocal used, waiting
-        names = np.concatenate([x[0] for x in held])
+        names = pa.concat_arrays([x[0] for x in held])
         counts = np.concatenate([x[1] for x in held])
         ids = np.concatenate([x[2] for x in held])
         held.clear()
@@ -202,10 +202,10 @@ def _pack_partition(batches: Iterator[pa.RecordBatch], path: str, end_id: int, c
         view = memoryview(ids.astype("<u4", copy=False)).cast("B")
         at = (first[d] + start).tolist()
         crc = [zlib.crc32(view[4 * a : 4 * (a + n)]) for a, n in zip(at, length.tolist())]
-        columns = [names[d], start, length, np.array(crc, np.int64), counts[d], base + used + sequence, offset, cost[sequence]]
+        columns = [names.take(pa.array(d)), start, length, np.array(crc, np.int64), counts[d], base + used + sequence, offset, cost[sequence]]
         used += int(sequence.max()) + 1
         names_out = [x.split()[0] for x in SCHEMA.split(", ")]
-        arrays = [pa.array(x) for x in columns]
+        arrays = [x if isinstance(x, pa.Array) else pa.array(x) for x in columns]
         if ids_too:
             arrays.append(pa.array([ids[a : a + n].astype(np.int64) for a, n in zip(at, length.tolist())], pa.list_(pa.int64())))
             names_out.append("ids")
@@ -216,7 +216,7 @@ def _pack_partition(batches: Iterator[pa.RecordBatch], path: str, end_id: int, c
             ids, counts = encoder.batch(batch.column("text"))
             ends = np.cumsum(counts)
             ids = np.insert(ids, ends, end_id)
-            held.append((np.asarray(batch.column("doc_id").cast(pa.int64())), counts + 1, ids))
+            held.append((batch.column("doc_id").cast(pa.int64()), counts + 1, ids))
             waiting += len(ids)
             if waiting >= window:
                 yield flush()

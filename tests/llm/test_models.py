@@ -563,19 +563,45 @@ def test_secrets_equal_a_plain_search(spark):
 # pipeline
 
 
-def test_pipeline_decides_and_keeps_clean_documents(spark):
+def test_pipeline_decides_and_keeps_clean_documents(spark, tmp_path):
+    """The stages over a small table with planted rows: what each decides takes effect, and clean documents stay."""
     import corpus_pipeline
-    from octolith.llm import simhash
+    from octolith.llm import decontam, pii, shingles
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    kept = {r.doc_id: r for r in docs.collect()}
-    model = toxicity.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
-    toxic = {r.doc_id for r in toxicity.score(docs, model).where("predicted = 1").collect()}
-    stage, out = dict(corpus_pipeline.STAGES), docs
-    out = stage["toxicity"](spark, out, SF)
-    assert {r.doc_id for r in out.collect()} == kept.keys() - toxic
-    groups = {r.doc_id: r.component_id for r in simhash.groups(out).collect()}
-    out = stage["simhash_near_dedup"](spark, out, SF)
-    assert {r.doc_id for r in out.collect()} == set(groups.values())
-    final = {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()}
-    assert final <= set(groups.values()) and len(final) >= 0.95 * len(set(groups.values()))
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").where("text is not null")
+    r = random.Random(1)
+    word = lambda: "".join(r.choice("bdklmnprstaeiou") for _ in range(r.randint(3, 9)))
+    clean = [" ".join(word() for _ in range(120)) for _ in range(6)]
+    near = clean[0].split()
+    near[60] = "changed"
+    passage = max((x.text for x in bench.collect()), key=len)
+    planted = {9_000_001: clean[0], 9_000_002: " ".join(near), 9_000_003: f"{clean[1]}\n{passage}\n{clean[2]}", 9_000_004: f"{clean[3]} write to jo.do@example.org or +1 555 010 9999 {clean[4]}", 9_000_005: clean[5], 9_000_006: None, 9_000_007: passage}
+    rows = [(i, t, None, None, None) for i, t in [*planted.items(), (9_000_005, clean[5]), (None, "a row without an id")]]
+    own = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    for name in ("benchmark", "labels"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    own.write.parquet(f"{tmp_path}/documents.parquet")
+    own, out = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    model = toxicity.train(own, spark.read.parquet(f"{SF}/labels.parquet"))
+    toxic = {x.doc_id for x in toxicity.score(own, model).where("predicted = 1").collect() if x.doc_id}
+    current = own
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before, current = current, stage(spark, current, str(tmp_path))
+        current.write.parquet(f"{tmp_path}/out{k}")
+        current = spark.read.parquet(f"{tmp_path}/out{k}")
+        out[name] = current
+        if k < 4:
+            assert current.columns == own.columns and stage(spark, before.limit(0), str(tmp_path)).count() == 0
+    ids = {n: {x.doc_id for x in df.select("doc_id").collect()} for n, df in out.items()}
+    assert ids["toxicity"] == {x.doc_id for x in own.select("doc_id").collect()} - toxic and not toxic & planted.keys()
+    groups = {x.doc_id: x.component_id for x in shingles.groups(out["toxicity"]).collect()}
+    assert ids["simhash_near_dedup"] == {c for c in groups.values() if c is not None} | {None}
+    assert groups[9_000_002] == 9_000_001 and {9_000_001, 9_000_003, 9_000_004, 9_000_005, None} <= ids["simhash_near_dedup"]
+    assert decontam.scan(out["benchmark_decontamination"], bench).where("n_hit > 0").count() == 0
+    text = {x.doc_id: x.text for x in out["benchmark_decontamination"].collect()}
+    assert re.findall(r"\w+", text[9_000_003]) == [*clean[1].split(), *clean[2].split()] and 9_000_007 not in text
+    assert pii.digest(pii.find(out["personal_data"])).where("n_email + n_ip + n_card + n_phone > 0").count() == 0
+    assert ids["personal_data"] == ids["benchmark_decontamination"] == ids["sequence_packing"]
+    pieces = out["sequence_packing"].groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).collect()
+    assert all(x[1] == x[2] for x in pieces if x.doc_id)

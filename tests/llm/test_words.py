@@ -88,6 +88,13 @@ def test_special_tokens_keep_their_case(spark, order):
         assert got == want
 
 
+def test_packing_of_rows_without_an_id_and_of_no_rows(spark):
+    df = docs(spark, ["a b", "c", None, "a b"], [None, 4, None, 4])
+    rows = packing.pack(df).collect()
+    assert sorted({(str(r.doc_id), r.doc_tokens) for r in rows}) == [("4", 2), ("4", 3), ("None", 1), ("None", 3)] and sum(r.length for r in rows) == 9
+    assert packing.pack(df.where("doc_id < 0")).count() == 0
+
+
 def test_packing_balances_costs():
     r = random.Random(4)
     pieces = packing.assign([r.randint(1, 700) for _ in range(400)], 1024, 1.0, 1 / 1024)
