@@ -7,45 +7,55 @@ from octolith.llm.spark import table
 
 
 def op1_main_text(spark, sf_dir):
+    """The main text of every page. Nulls, repeats and empty tables: as the operator has it."""
     return htmlcrf.extract(table(spark, sf_dir, "pages"))
 
 
 def op2_toxicity(spark, sf_dir):
+    """Every document's toxicity score, from a model of the labelled rows that are not held out. Nulls, repeats and empty tables: as the operator has it."""
     docs = table(spark, sf_dir, "documents")
     return toxicity.digest(toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))))
 
 
 def op3_benchmark_decontamination(spark, sf_dir):
+    """What of the benchmark occurs in each document. Nulls, repeats and empty tables: as the operator has it."""
     return decontam.digest(decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
 def op4_simhash_near_dedup(spark, sf_dir):
+    """Fingerprint and near-duplicate group of each document. Nulls, repeats and empty tables: as the operator has it."""
     return simhash.digest(simhash.groups(table(spark, sf_dir, "documents")))
 
 
 def op5_nearest_neighbours(spark, sf_dir):
+    """The ten nearest of all vectors to each hundredth one. Nulls, repeats and empty tables: as the operator has it."""
     vectors = table(spark, sf_dir, "embeddings")
     return ann.search(vectors, vectors.where("vec_id % 100 = 0"))
 
 
 def op6_quality(spark, sf_dir):
+    """Every document's quality score by two co-trained views. Nulls, repeats and empty tables: as the operator has it."""
     docs = table(spark, sf_dir, "documents")
     return cotrain.digest(cotrain.score(docs, cotrain.train(docs, table(spark, sf_dir, "labels"))))
 
 
 def op7_personal_data(spark, sf_dir):
+    """Counts and spans of personal data in each document. Nulls, repeats and empty tables: as the operator has it."""
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
 
 def op8_secret_scan(spark, sf_dir):
+    """Every candidate for a secret with its score. Nulls, repeats and empty tables: as the operator has it."""
     return secretscan.find(table(spark, sf_dir, "documents"), secretscan.train(secretscan.labelled_findings(spark)))
 
 
 def op9_katz_scoring(spark, sf_dir):
+    """Every document's log10 probability under a Katz backoff model of those that are not held out. Nulls, repeats and empty tables: as the operator has it."""
     return katz.score(table(spark, sf_dir, "documents"))
 
 
 def op10_sequence_packing(spark, sf_dir):
+    """All documents' pieces in sequences of at most 4096 tokens. Nulls, repeats and empty tables: as the operator has it."""
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
