@@ -124,6 +124,16 @@ def test_command_line(spark, tmp_path, capsys):
 
     (tmp_path / "d.las").write_bytes(las())
     assert main(["--list-datasets", str(tmp_path)]) == 0
-    assert main(["--synthetic", "300", "--threshold", "40", "--size", "32x18", "--lod-budget", "8", "--dump-frame", str(tmp_path / "f.ppm")]) == 0
+    assert main(["--synthetic", "300", "--threshold", "40", "--size", "32x18", "--lod-budget", "8", "--dump-frame", str(tmp_path / "f.ppm"), "--free-memory", "12G", "--record", str(tmp_path / "r")]) == 0
+    assert {r.name for r in spark.read.json(str(tmp_path / "r")).collect()} >= {"points", "nodes", "required_bytes"}
     assert (tmp_path / "f.ppm").read_bytes().startswith(b"P6\n32 18\n255\n")
     assert "inner_nodes" in capsys.readouterr().out
+
+
+def test_queries_that_cannot_be_planned_are_named(spark):
+    from octolith.operators import budget
+    from octolith.plans import report
+
+    queries = {"good": lambda spark, _: spark.range(3), "bad": lambda spark, _: spark.range(3).select("nothing")}
+    assert [n for n, _ in report.check_queries(spark, "", queries)] == ["bad"]
+    assert budget.usable_budget(2 << 30) == int((1536 << 20) * 0.85) and budget.usable_budget(2 << 30, 7) == 7 and budget.usable_budget(5) == 0
