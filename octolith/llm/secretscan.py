@@ -18,14 +18,17 @@ _NAMED = r"(?i:secret|token|passw(?:or)?d|passphrase|pwd|api[_-]?key|access[_-]?
 #: of keys and digests, taken whole. The short look back in front keeps the long one from being tried at every character.
 CANDIDATE = Kind(
     "secret",
-    "|".join((
-        r"(?<![A-Za-z0-9+/_.\-])(?:SG\.[A-Za-z0-9_-]{16,}+\.[A-Za-z0-9_-]{16,}+|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]*+)",
-        rf"(?<=[:=>]\s{{0,2}}[\"'`])(?<={_NAMED}[\"'`])[^\s\"'`]{{4,}}+(?=[\"'`])",
-        rf"(?<=[:=>]\s{{0,2}})(?<={_NAMED})[^\s\"'`,;&<>(){{}}\[\]]{{3,}}[^\s\"'`,;&<>(){{}}\[\].?:]",
+    # whatever is proposed begins behind a sign that no run has, so most characters cost one look back
+    r"(?<![A-Za-z0-9+/_\-])(?:"
+    + "|".join((
+        r"(?<!\.)(?:SG\.[A-Za-z0-9_-]{16,}+\.[A-Za-z0-9_-]{16,}+|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]*+)",
+        rf"(?<=[\"'`])(?<=[:=>]\s{{0,2}}[\"'`])(?<={_NAMED}[\"'`])[^\s\"'`]{{4,}}+(?=[\"'`])",
+        rf"(?<=[:=>\s])(?<=[:=>]\s{{0,2}})(?<={_NAMED})[^\s\"'`,;&<>(){{}}\[\]]{{3,}}[^\s\"'`,;&<>(){{}}\[\].?:]",
         r"(?<=[rR]\s)(?<=\b[bB]earer\s)[A-Za-z0-9+/._~=-]{7,}[A-Za-z0-9+/=_~-]",
         r"(?<=:)(?<=://[^\s:/@]{1,64}:)[^\s/@]++(?=@)",
-        r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}+={0,2}",
-    )),
+        r"[A-Za-z0-9+/_\-]{16,}+={0,2}",
+    ))
+    + ")",
     "", "", 0.0, 0.0,
 )
 #: Shapes that issuers document, as fixed values.
