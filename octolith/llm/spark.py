@@ -2,28 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from octolith.session import cut, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; only in local mode, where none is named, a new one."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not (context.master == "local" or context.master.startswith("local[")):
-            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="octolith-"))
-    return context.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Runs the plan once and keeps its rows in the shared checkpoint folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["cut", "partitions", "shared_dir", "spread_join", "table", "temporary"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
