@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, that of the smallest id: five-word shingles, Jaccard similarity of 0.8 or more.
+    """One document of each near-duplicate group, that of the smallest id: SimHash fingerprints of five-word shingles compared in tiles, links confirmed at a Jaccard similarity of 0.8 or more.
 
     Texts without words (null, empty) are one group. Rows without an id stay, of rows that repeat
     one the first in the order of all columns stays. An empty table stays empty.

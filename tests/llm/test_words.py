@@ -388,3 +388,68 @@ def test_pipeline_stage_finds_all_pairs_by_jaccard(spark):
     want = sorted(min(k for k in range(len(texts)) if group[k] == g) for g in set(group))
     kept = corpus_pipeline.drop_near_duplicates(spark, docs(spark, texts), "")
     assert far > 20 and sorted(row.doc_id for row in kept.collect()) == want
+
+
+def test_near_duplicate_fingerprints_and_tiles(spark, monkeypatch):
+    """Fingerprints are SimHash by majority, similar sets are within reach, and many small tiles find every close pair once."""
+    import numpy as np
+    from octolith.llm import shingles, textbytes
+
+    r = np.random.default_rng(5)
+    draw = lambda n: r.integers(0, 1 << 63, n, dtype=np.uint64)
+    for n in (1, 4, 5, 254, 255, 256, 700):
+        own = draw(n)
+        hashes = np.unpackbits(textbytes.mix(own[:, None] ^ shingles._SEEDS).view(np.uint8), axis=1).astype(int)
+        assert (np.unpackbits(shingles.fingerprint(own).view(np.uint8)) == (2 * hashes.sum(axis=0) > n)).all()
+    for shared, a, b in [(4, 1, 0), (8, 1, 1), (40, 10, 0), (40, 5, 5), (800, 100, 100)] * 40:
+        both = draw(shared)
+        x, y = (shingles.fingerprint(np.concatenate([both, draw(k)])) for k in (a, b))
+        far = np.bitwise_count(x ^ y)
+        assert far.sum() <= shingles.reach(512, 0.8) and far[:2].sum() <= shingles.reach(128, 0.8)
+
+    monkeypatch.setattr(shingles, "_CHUNK", 7)
+    monkeypatch.setattr(shingles, "_MET", 3)
+    base, every = draw(60), []
+    for k in range(90):
+        keep = base[: r.integers(40, 61)] if k % 3 else draw(r.integers(5, 90))
+        every.append(np.unique(np.concatenate([keep, draw(r.integers(0, 7))])))
+    size = np.array([len(s) for s in every])
+    cell = np.floor(np.log(size) / shingles._step(0.8)).astype(int)
+    counts = {int(c): int((cell == c).sum()) for c in cell}
+    chunk = np.arange(len(every)) % np.array([-(-counts[int(c)] // 7) for c in cell])
+    words = np.array([np.concatenate([shingles.fingerprint(s), shingles.parities(s)]) for s in every])
+    tiles = {}
+    for c, k, tile, side in shingles.deal(counts):
+        tiles.setdefault(tile, []).extend((int(i), side) for i in np.flatnonzero((cell == c) & (chunk == k)))
+    found = []
+    for rows in tiles.values():
+        rows.sort(key=lambda x: size[x[0]])
+        at, side = np.array([x[0] for x in rows], int), np.array([x[1] for x in rows], int)
+        for i, j, _ in shingles.close_pairs(side, size[at], at, words[at], 0.8):
+            found += [tuple(sorted(p)) for p in zip(at[i].tolist(), at[j].tolist())]
+    right = {(i, j) for j in range(90) for i in range(j) if len(np.intersect1d(every[i], every[j])) >= 0.8 * len(np.union1d(every[i], every[j]))}
+    assert len(right) > 100 and right <= set(found) and len(found) == len(set(found)) < 2 * len(right)
+
+
+def test_near_duplicates_of_dense_tiles(spark):
+    """Texts that are close to many others and linked to few: the forest of a tile leaves links to the second look."""
+    from octolith.llm import shingles
+
+    r = random.Random(3)
+    base = [f"b{k}" for k in range(200)]
+    texts = []
+    for _ in range(60):
+        own = list(base)
+        for at in r.sample(range(200), r.choice((2, 3, 4, 5, 6))):
+            own[at] = f"x{r.randrange(10**6)}"
+        texts.append(" ".join(own))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    want = {i: min(k for k in range(len(texts)) if group[k] == group[i]) for i in range(len(texts))}
+    assert len(set(want.values())) > 1
+    assert {x.doc_id: x.component_id for x in shingles.groups(docs(spark, texts)).collect()} == want
