@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,9 +13,11 @@ from pyspark.sql import functions as F
 from octolith.llm.spark import cut
 
 _CODES = 256
-
-
 _BLOCK = 1 << 21
+#: Components of moved vectors end here: the squares of thousands of them can be added.
+_FAR = 1e140
+#: More than the rounding error of a distance, as a share of the norms that go into it.
+_ROUNDING = 1e-14
 
 
 def _squared(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -57,25 +60,36 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 10, seed: int = 7) -> np.ndarray
 
 @dataclass
 class Model:
-    """Coarse centroids, a codebook for each group of dimensions, and how much to probe and to rerank."""
+    """Coarse centroids and a codebook for each group of dimensions, of vectors moved to ``origin`` and scaled by a power of two."""
 
+    origin: np.ndarray
+    scale: float
     coarse: np.ndarray
     books: list[np.ndarray]
     cuts: list[int]
-    probes: int
-    shortlist: int
 
     @property
     def dims(self) -> int:
         return self.coarse.shape[1]
 
+    def moved(self, x: np.ndarray) -> np.ndarray:
+        """Near the origin, where squares lose no small distances; components stay below ``_FAR``, so that squares don't overflow."""
+        with np.errstate(over="ignore"):
+            return np.clip((x - self.origin) * self.scale, -_FAR, _FAR)
+
     def lists(self, x: np.ndarray) -> np.ndarray:
         return _nearest(x, self.coarse)[0]
 
-    def encode(self, x: np.ndarray, own: np.ndarray) -> np.ndarray:
+    def encode(self, x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The codes of moved vectors, and for each how far it can be from what they stand for, rounding included."""
         rest = x - self.coarse[own]
-        parts = [_nearest(rest[:, a:b], book)[0] for a, b, book in zip(self.cuts, self.cuts[1:], self.books)]
-        return np.stack(parts, axis=1).astype(np.uint8)
+        parts, error = [], np.zeros(len(x))
+        for a, b, book in zip(self.cuts, self.cuts[1:], self.books):
+            parts.append(_nearest(rest[:, a:b], book)[0])
+            error += ((rest[:, a:b] - book[parts[-1]]) ** 2).sum(1)
+        error = np.sqrt(error) + _ROUNDING * np.sqrt((x * x).sum(1))
+        error[(np.abs(x) >= _FAR).any(1)] = np.inf
+        return np.stack(parts, axis=1).astype(np.uint8), error
 
     def tables(self, rest: np.ndarray) -> np.ndarray:
         """Squared distances of query residuals to the codes: query, group, code."""
@@ -85,40 +99,78 @@ class Model:
         return out
 
 
-def fit(sample: np.ndarray, n_rows: int, k: int, *, groups: int = 16, target: float = 0.98, n_tests: int = 200, seed: int = 7) -> Model:
-    """Fits centroids and codebooks, then chooses probes and shortlist by brute force within the sample.
-
-    There are about ``sqrt(n_rows)`` lists, but at most one for two rows of the sample. ``probes`` is the least number of lists,
-    and ``shortlist`` the least number of reranked rows of a list, that find a share of ``target``
-    of the true neighbours of ``n_tests`` members.
-    """
-    coarse = kmeans(sample, max(1, min(round(n_rows**0.5), len(sample) // 2)), seed=seed)
-    cuts = np.linspace(0, sample.shape[1], min(groups, sample.shape[1]) + 1).astype(int).tolist()
-    own = _nearest(sample, coarse)[0]
-    rest = sample - coarse[own]
-    books = [kmeans(rest[:, a:b], _CODES, rounds=6, seed=seed) for a, b in zip(cuts, cuts[1:])]
-    model = Model(coarse, books, cuts, len(coarse), 1)
-    tests = np.random.default_rng(seed).choice(len(sample), min(n_tests, len(sample)), replace=False)
-    d = _squared(sample[tests], sample)
-    d[np.arange(len(tests)), tests] = np.inf
-    true = np.argsort(d, axis=1)[:, : max(1, min(k, len(sample) - 1))]
-    place = np.argsort(np.argsort(_squared(sample[tests], coarse), axis=1), axis=1)
-    found = np.sort(np.take_along_axis(place, own[true], axis=1).reshape(-1))
-    model.probes = int(found[min(len(found) - 1, int(np.ceil(target * len(found))) - 1)]) + 1
-    codes, ranks = model.encode(sample, own), []
-    for t, q in enumerate(tests):
-        for c in np.unique(own[true[t]]):
-            members = np.flatnonzero(own == c)
-            table = model.tables(sample[q : q + 1] - coarse[c])[0]
-            near = table[np.arange(len(books)), codes[members]].sum(1)
-            order = np.empty(len(members), int)
-            order[np.argsort(near)] = np.arange(len(members))
-            ranks += order[np.isin(members, true[t])].tolist()
-    ranks.sort()
-    model.shortlist = 2 * (int(ranks[min(len(ranks) - 1, int(np.ceil(target * len(ranks))) - 1)]) + 1) + k
+def fit(sample: np.ndarray, n_rows: int, *, groups: int = 16, seed: int = 7) -> Model:
+    """Fits centroids and codebooks: about ``sqrt(n_rows)`` lists, but at most one for two rows of the sample."""
+    origin = np.median(sample, axis=0)
+    with np.errstate(over="ignore"):
+        widest = min(float(np.abs(sample - origin).max()) or 1.0, float(np.finfo(float).max))
+    model = Model(origin, 2.0 ** -max(-1000, min(1000, math.frexp(widest)[1])), np.zeros((1, sample.shape[1])), [], np.linspace(0, sample.shape[1], min(groups, sample.shape[1]) + 1).astype(int).tolist())
+    sample = model.moved(sample)
+    model.coarse = kmeans(sample, max(1, min(round(n_rows**0.5), len(sample) // 2)), seed=seed)
+    rest = sample - model.coarse[_nearest(sample, model.coarse)[0]]
+    model.books = [kmeans(rest[:, a:b], _CODES, rounds=6, seed=seed) for a, b in zip(model.cuts, model.cuts[1:])]
     return model
 
 
+def _distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows to a vector; where squares would leave the range of doubles, of scaled differences."""
+    with np.errstate(over="ignore"):
+        gap = np.abs(x - q)
+        d = np.sqrt((gap * gap).sum(1))
+        odd = np.flatnonzero(~((d > 1 / _FAR) & (d < _FAR)))
+        if len(odd):
+            power = np.frexp(gap[odd].max(1))[1]
+            near = np.ldexp(gap[odd], -power[:, None])
+            d[odd] = np.ldexp(np.sqrt((near * near).sum(1)), power)
+    return d
+
+
+def truth(batches, tests: np.ndarray, model: Model, k: int):
+    """Brute force: of the index rows of a task the k + 1 nearest to each test vector, as ``t, score, list, n`` with the number of their ids."""
+    t = model.moved(tests)
+    norms, limit = (t * t).sum(1), np.full(len(t), np.inf)
+    best = [(np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int64))] * len(t)
+    for batch in batches:
+        every, own = _matrix(batch.column("v"), model.dims), np.asarray(batch.column("list"))
+        n = np.diff(np.asarray(batch.column("ids").offsets))
+        for rows in _blocks(every, t):
+            x = model.moved(every[rows])
+            d = _squared(x, t)
+            slack = 2 * _ROUNDING * model.dims * ((x * x).sum(1).max() + norms)
+            if len(x) > k + 1:
+                limit = np.minimum(limit, np.partition(d, k, axis=0)[k] + slack)
+            for i in range(len(t)):
+                at = rows.start + np.flatnonzero(~(d[:, i] > limit[i] + slack[i]))
+                if len(at):
+                    score, where, ids = (np.concatenate(c) for c in zip(best[i], (_distances(every[at], tests[i]), own[at], n[at])))
+                    few = np.argsort(score, kind="stable")[: k + 1]
+                    best[i] = score[few], where[few], ids[few]
+    merged = [np.concatenate([b[c] for b in best]) for c in range(3)]
+    number = np.repeat(np.arange(len(t), dtype=np.int32), [len(b[0]) for b in best])
+    yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(merged[0]), pa.array(merged[1], pa.int32()), pa.array(merged[2], pa.int64())], ["t", "score", "list", "n"])
+
+
+def probes_for(index: DataFrame, tests: np.ndarray, model: Model, k: int, target: float) -> int:
+    """The least number of lists in which a share of ``target`` of the tests' true neighbours lies, found by brute force over the whole index."""
+    near = index.select("list", "v", "ids").mapInArrow(lambda batches: truth(batches, tests, model, k), "t int, score double, list int, n long")
+    near = near.withColumn("at", F.row_number().over(Window.partitionBy("t").orderBy("score", "list"))).where(F.col("at") <= k + 1)
+    by_test: dict[int, list] = {}
+    for r in near.orderBy("t", "at").collect():
+        by_test.setdefault(r["t"], []).append(r)
+    x, share = model.moved(tests), np.zeros(len(model.coarse))
+    for rows in _blocks(x, model.coarse):
+        order = np.argsort(_squared(x[rows], model.coarse), axis=1, kind="stable")
+        place = np.argsort(order, axis=1)
+        for i in range(len(place)):
+            left = k
+            for r in by_test.get(rows.start + i, []):
+                n = min(left, r["n"] - (r["score"] == 0))
+                share[place[i, r["list"]]] += n
+                left -= n
+    found = np.cumsum(share)
+    return int(np.searchsorted(found, target * found[-1])) + 1 if found[-1] else 1
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """``vec_id, v``: different rows whose vector is not null or zero and has finite components only."""
     v = F.col("embedding").cast("array<double>")
@@ -134,20 +186,31 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
 
 
 def _search(rows: pa.Table, queries: pa.Table, model: Model, k: int) -> pa.Table:
+    """The k + 1 nearest ids of a list to each query: exact distances of all rows that can be among them by their codes and errors."""
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     if rows.num_rows and queries.num_rows:
         x, q = _matrix(rows.column("v"), model.dims), _matrix(queries.column("v"), model.dims)
         codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(len(x), -1)
-        ids, qid = rows.column("ids").to_pylist(), np.asarray(queries.column("q"))
+        ids, qid, error = rows.column("ids").to_pylist(), np.asarray(queries.column("q")), np.asarray(rows.column("error"))
         centre = model.coarse[rows.column("list")[0].as_py()]
+        widest = sum(float((book * book).sum(1).max()) for book in model.books)
         for at in range(0, len(q), 64):
-            table = model.tables(q[at : at + 64] - centre)
+            moved = model.moved(q[at : at + 64])
+            rest = moved - centre
+            table = model.tables(rest)
             near = np.zeros((len(table), len(x)))
             for g in range(codes.shape[1]):
                 near += table[:, g, codes[:, g]]
+            slack = _ROUNDING * model.dims * ((rest * rest).sum(1) + widest)
+            shift = _ROUNDING * np.sqrt((moved * moved).sum(1))
+            exactly = (np.abs(moved) >= _FAR).any(1)
             for i in range(len(table)):
-                best = np.argpartition(near[i], model.shortlist)[: model.shortlist] if len(x) > model.shortlist else np.arange(len(x))
-                exact = np.sqrt(((x[best] - q[at + i]) ** 2).sum(1))
+                best = np.arange(len(x))
+                if len(x) > k + 1 and not exactly[i]:
+                    most = np.sqrt(near[i] + slack[i]) + error
+                    least = np.sqrt(np.maximum(near[i] - slack[i], 0)) - error
+                    best = np.flatnonzero(least <= np.partition(most, k)[k] + 2 * shift[i])
+                exact = _distances(x[best], q[at + i])
                 few = np.argsort(exact, kind="stable")[: k + 1] if len(best) <= k + 1 else np.flatnonzero(exact <= np.partition(exact, k)[k])
                 pairs = sorted((d, v) for d, j in zip(exact[few].tolist(), best[few].tolist()) for v in ids[j])[: k + 1]
                 out.append((np.full(len(pairs), qid[at + i]), np.array([p[1] for p in pairs], np.int64), np.array([p[0] for p in pairs])))
@@ -155,7 +218,7 @@ def _search(rows: pa.Table, queries: pa.Table, model: Model, k: int) -> pa.Table
     return pa.table([pa.array(merged[0], pa.int64()), pa.array(merged[1], pa.int64()), pa.array(merged[2], pa.float64())], ["q", "vec_id", "score"])
 
 
-def search(vectors: DataFrame, queries: DataFrame, *, k: int = 10, most_sample: int = 20_000, chunk_rows: int = 20_000, groups: int = 16) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, *, k: int = 10, most_sample: int = 20_000, chunk_rows: int = 20_000, groups: int = 16, target: float = 0.98, most_tests: int = 400) -> DataFrame:
     """The ``k`` nearest of ``vectors(vec_id, embedding)`` to each row of ``queries`` (same columns), itself (by id) left out.
 
     Returns ``query_id, rank, vec_id, score``: rank from 1, score the exact Euclidean distance in
@@ -164,6 +227,9 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 10, most_sample:
     are one entry with their k + 1 smallest ids, which is all a result can hold. Lists of over
     ``chunk_rows`` entries are cut into chunks.
 
+    Within a list the search is exact. Each query looks into the number of lists that holds a share of ``target`` of the true
+    neighbours of up to ``most_tests`` of the queries themselves, chosen by a hash, by brute force over all rows.
+
     Null, zero and non-finite vectors, null ids and vectors of another length than the most common
     take no part. Repeated rows count once. With fewer than k candidates all are returned; empty
     tables give no rows; other columns are ignored.
@@ -183,16 +249,17 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 10, most_sample:
     sample = _matrix(kept.toArrow().column("v"), dims)
     if not len(sample):
         sample = _matrix(entries.select("v").limit(most_sample).toArrow().column("v"), dims)
-    model = fit(sample, total, k, groups=groups)
+    model = fit(sample, total, groups=groups)
 
     def place(batches):
         for batch in batches:
             x = _matrix(batch.column("v"), dims)
-            own = model.lists(x)
-            codes = model.encode(x, own)
-            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), batch.column("v"), batch.column("ids"), pa.array([c.tobytes() for c in codes], pa.binary())], ["list", "v", "ids", "codes"])
+            moved = model.moved(x)
+            own = model.lists(moved)
+            codes, error = model.encode(moved, own)
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), batch.column("v"), batch.column("ids"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error)], ["list", "v", "ids", "codes", "error"])
 
-    index = cut(entries.mapInArrow(place, "list int, v array<double>, ids array<long>, codes binary"))
+    index = cut(entries.mapInArrow(place, "list int, v array<double>, ids array<long>, codes binary, error double"))
     sizes = np.zeros((len(model.coarse), 2), dtype=np.int64)  # a row for each list
     for r in index.groupBy("list").agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("ids")).collect():
         sizes[r["list"]] = r["n"], r["ids"]
@@ -203,14 +270,17 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 10, most_sample:
 
     asked = usable(queries).where(F.size("v") == dims)
     different = asked.groupBy("v").agg(F.min("vec_id").alias("q"))
+    most_tests = max(1, min(most_tests, _BLOCK // dims))
+    tests = _matrix(asked.orderBy(F.xxhash64("vec_id"), "vec_id").select("v").limit(most_tests).toArrow().column("v"), dims)
+    fewest = probes_for(index, tests, model, k, target) if len(tests) else 1
 
     def probe(batches):
         for batch in batches:
-            x, at, lists, parts = _matrix(batch.column("v"), dims), [], [], []
+            x, at, lists, parts = model.moved(_matrix(batch.column("v"), dims)), [], [], []
             for rows in _blocks(x, model.coarse):
                 order = np.argsort(_squared(x[rows], model.coarse), axis=1, kind="stable")
                 there = np.cumsum(sizes[order, 1], axis=1)
-                enough = np.maximum(model.probes, (there < k + 1).sum(1) + 1)
+                enough = np.maximum(fewest, (there < k + 1).sum(1) + 1)
                 for i, n in enumerate(enough.tolist()):
                     for c in order[i, :n].tolist():
                         if sizes[c, 0]:

@@ -403,6 +403,33 @@ def test_neighbours(spark, n, k):
     assert found >= 0.9 * sum(map(len, want.values()))
 
 
+def _clouds():
+    """Tables of vectors on which an index is easily tuned wrong."""
+    r = np.random.default_rng(9)
+    apart = np.repeat(r.normal(size=(10, 32)), 300, axis=0) + 0.01 * r.normal(size=(3000, 32))
+    apart[::100] = r.normal(size=(30, 32))
+    clusters = r.normal(size=(30, 32))[r.integers(0, 30, 6000)] + 1e-4 * r.normal(size=(6000, 32))
+    return {"queries unlike rows": (apart, 20_000), "tight clusters, small sample": (clusters, 600), "far from zero": (1e8 + r.normal(size=(2000, 16)), 20_000), "huge": (1e160 * r.normal(size=(2000, 16)), 20_000), "tiny": (1e-170 * r.normal(size=(2000, 16)), 20_000)}
+
+
+@pytest.mark.parametrize("name", _clouds())
+def test_neighbours_on_other_rows(spark, name):
+    x, most_sample = _clouds()[name]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for row in ann.search(df, df.where("vec_id % 100 = 0"), most_sample=most_sample).orderBy("query_id", "rank").collect():
+        got[row.query_id].append((row.score, row.vec_id))
+    scale = np.abs(x).max()
+    found = 0
+    for q in range(0, len(x), 100):
+        d = scale * np.sqrt((((x - x[q]) / scale) ** 2).sum(1))
+        d[q] = np.inf
+        near = np.argsort(d, kind="stable")[:10]
+        assert np.allclose([s for s, _ in got[q]], d[[v for _, v in got[q]]], rtol=1e-12, atol=0)
+        found += len(set(near.tolist()) & {v for _, v in got[q]})
+    assert found >= 0.95 * 10 * len(got) and len(got) == len(range(0, len(x), 100))
+
+
 def test_neighbours_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert ann.search(df, df).count() == 0
